@@ -84,8 +84,8 @@ def test_result_matches_brute_force_and_catches_passages(spark):
     left = sorted((str(r.doc_id), str(r.text)) for r in got)
     assert left == sorted((str(i), str(want[i, t])) for i, t in rows)
     for p in shared:
-        assert sum(p in (r.text or "") for r in got) <= 1
-    # insertions before a passage don't hide it, and texts without repeats are whole
+        assert len({(r.doc_id, r.text) for r in got if p in (r.text or "")}) <= 1  # repeated rows are one document
+    # texts without repeats stay whole
     assert all(r.text == dict(rows)[r.doc_id] for r in got if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2 == 0)
 
 

@@ -23,7 +23,7 @@ MAX_FEATURES = 20_000
 MIN_DF = 4
 STEM = 4
 SURE = 15.0  # squared z of a word's two rates
-REJECT_FROM = 0.2  # probability of a grade above 0
+REJECT_FROM = 0.3  # probability of a grade above 0
 
 
 def features(text: str | None) -> set[str]:
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """docs with struct `toxicity`: severity (expected grade), p_toxic (chance of a grade above 0), grade (the likeliest), toxic (p_toxic >= 0.2).
+    """docs with struct `toxicity`: severity (expected grade), p_toxic (chance of a grade above 0), grade (the likeliest), toxic (p_toxic >= 0.3).
 
     Null, empty and wordless texts have severity 0. The column is named
     _toxicity and so on if docs has one. Every row and column is kept.

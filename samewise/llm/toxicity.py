@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.columns import documents, fresh, pick
+from samewise.llm.columns import bound_batches, documents, fresh, pick
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 8_000  # labelled rows of each class that a model is fitted on, at most (about: rows are chosen by hash)
@@ -162,15 +162,19 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text")
     _toxicity and so on if docs has one. Every row and column is kept.
     """
 
+    bound_batches(docs)
+
     @F.pandas_udf("struct<severity: double, p_toxic: double, grade: int, toxic: boolean>")
     def score(texts):
         import pandas as pd
 
-        get = model.weights.get
-        found = [features(t) for t in texts]
-        s = np.array([sum(get(w, 0.0) for w in sorted(f & model.weights.keys())) for f in found], dtype=float)
+        s, wordless = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+        for i, t in enumerate(texts):  # one document's words at a time
+            found = features(t)
+            wordless[i] = not found
+            s[i] = sum(model.weights[w] for w in sorted(found & model.weights.keys()))
         p = model.probabilities(s)
-        p[[not f for f in found]] = np.eye(p.shape[1])[0]
+        p[wordless] = np.eye(p.shape[1])[0]
         return pd.DataFrame({"severity": p @ np.arange(p.shape[1]), "p_toxic": 1 - p[:, 0], "grade": p.argmax(axis=1).astype("int32"), "toxic": 1 - p[:, 0] >= REJECT_FROM})
 
     return docs.withColumn(fresh(docs, "toxicity"), score(F.col(f"`{text_col}`")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, packing, simhash, substrings, toxicity
+from samewise.llm import decontamination, editembed, language, packing, simhash, substrings, tokencount, toxicity
 
-MODULES = [decontamination, packing, simhash, substrings, toxicity]
+MODULES = [simhash, toxicity, editembed, decontamination, substrings, packing, language, tokencount]
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}

@@ -31,7 +31,8 @@ def test_round_trip_and_resume(spark, tmp_path):
         stream[m.sequence_id] = slots[m.slot][: m.n_tokens]
         assert m.shard == m.slot // 16 and m.byte_offset == m.slot % 16 * 128
     flat = [i for s in stream for i in s]
-    enc, at, docs = byte_encoder(), 0, sorted(tuple(enc(t).tolist()) for _, t, _ in rows)
+    enc, at = byte_encoder(), 0
+    docs = sorted(tuple(enc(t).tolist()) for _, t, _ in rows)
     found = []
     while at < len(flat):
         end = flat.index(1, at) + 1

@@ -63,6 +63,21 @@ def _local(path: str) -> str:
     return u.path
 
 
+def _placed_rows(encoder):
+    """token_rows() with `inside`, the tokens of the part before each row, and without the source."""
+    rows = token_rows(encoder)
+
+    def run(batches):
+        before = 0
+        for b in rows(batches):
+            n = np.asarray(b.column("n"))
+            inside = before + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("part", "id", "n", "ids")] + [pa.array(inside, pa.int64())], names=["part", "id", "n", "ids", "inside"])
+
+    return run
+
+
 def write_shards(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, encoder: ByteEncoder | None = None
 ) -> DataFrame:
@@ -78,16 +93,13 @@ def write_shards(
     """
     rows = pick(docs, id=id_col, text=text_col).select("id", F.lit(None).cast("string").alias("source"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    tokens = save(rows.mapInArrow(token_rows(encoder or byte_encoder()), f"part int, row long, id {id_type}, source string, n long, ids binary").drop("source"), "shards-tokens")
+    tokens = save(rows.mapInArrow(_placed_rows(encoder or byte_encoder()), f"part int, id {id_type}, n long, ids binary, inside long"), "shards-tokens")
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     n_sequences = -(-total // length)
     n_shards = max(1, -(-n_sequences // shard_sequences))
     # the stream: the parts in order (a row for each task), the rows of a part in order
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    at = tokens.select("part", "row", "n").withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, "part").select("part", "row", (F.col("base") + F.col("inside")).alias("at"))
-
     def cut(batches):
         for b in batches:
             shard, slot, seq, off, doc, raw = [], [], [], [], [], []
@@ -107,7 +119,9 @@ def write_shards(
                 names=["shard", "slot", "sequence_id", "off", "id", "raw"],
             )
 
-    pieces = tokens.select("part", "row", "id", "ids").join(at, ["part", "row"]).select("at", "id", "ids").mapInArrow(cut, f"shard int, slot long, sequence_id long, off long, id {id_type}, raw binary")
+    # a row for each task of the one before, so it goes to all
+    placed = tokens.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inside")).alias("at"), "id", "ids")
+    pieces = placed.mapInArrow(cut, f"shard int, slot long, sequence_id long, off long, id {id_type}, raw binary")
     dealt = pieces.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "slot", "off")
     to = _local(folder)
 

@@ -2,10 +2,536 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
-
+from samewise.functions import text as X
+from samewise.operators import blocking as B
+from samewise.operators import clusters as G
+from samewise.operators import conditions as P
+from samewise.operators import decisions as D
+from samewise.operators import exact as M
+from samewise.operators import scoring as W
+from samewise.operators.graph import connected_components
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c):
+    return c.cast("long")
+
+
+# ------------------------------------------------------------ sources and projections
+
+@query(
+    "s_json_projection",
+    "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL",
+)
+def s_json_projection(spark, d):
+    k = F.get_json_object("props", "$.k").alias("k")
+    return table(spark, d, "events").groupBy("event_type", k).agg(F.count("*").alias("n"))
+
+
+@query("s_projection_scan", "SELECT doc_id, source FROM documents WHERE lang = 'en'")
+def s_projection_scan(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source")
+
+
+@query(
+    "l_stable_record_key",
+    "SELECT event_id, substr(sha256(concat_ws('|', user_id::VARCHAR, event_type, coalesce(props, ''))), 1, 16) AS record_key FROM events",
+)
+def l_stable_record_key(spark, d):
+    key = F.substring(F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.coalesce("props", F.lit(""))), 256), 1, 16)
+    return table(spark, d, "events").select("event_id", key.alias("record_key"))
+
+
+@query(
+    "l_modal_value",
+    "SELECT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS r FROM orders GROUP BY o_custkey, o_orderpriority) WHERE r = 1",
+)
+def l_modal_value(spark, d):
+    return M.modal_values(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query(
+    "l_distinct_join",
+    "SELECT user_id, string_agg(DISTINCT event_type, ' | ' ORDER BY event_type) AS kinds FROM events GROUP BY user_id",
+)
+def l_distinct_join(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), " | ").alias("kinds"))
+
+
+@query(
+    "l_amount_profile",
+    """SELECT o_custkey, count(*) AS n, count(DISTINCT o_totalprice) AS n_amounts, round(median(o_totalprice), 6) AS median_value, max(o_totalprice) AS largest,
+       round(avg(CASE WHEN o_totalprice > 0 AND o_totalprice % 1000 = 0 THEN 1 ELSE 0 END), 6) AS share_round_1000 FROM orders GROUP BY o_custkey""",
+)
+def l_amount_profile(spark, d):
+    v = F.col("o_totalprice")
+    return (
+        table(spark, d, "orders")
+        .groupBy("o_custkey")
+        .agg(F.count("*").alias("n"), F.count_distinct(v).alias("n_amounts"), F.round(F.median(v), 6).alias("median_value"), F.max(v).alias("largest"), F.round(F.avg(F.when((v > 0) & (v % 1000 == 0), 1).otherwise(0)), 6).alias("share_round_1000"))
+    )
+
+
+@query("l_year_range", "SELECT o_custkey, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year, count(*) AS n FROM orders GROUP BY o_custkey")
+def l_year_range(spark, d):
+    y = long(F.year("o_orderdate"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(y).alias("first_year"), F.max(y).alias("last_year"), F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ cleaning and functions
+
+def _names(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+
+
+TEXT = {
+    "c_upper": ("p_name", F.upper, "upper(p_name)"),
+    "c_trim": ("p_name", lambda c: X.trim(F.concat(F.lit(" \t"), c, F.lit("  "))), "p_name"),
+    "c_collapse_spaces": ("p_type", lambda c: X.collapse_spaces(F.concat(c, F.lit("   x "))), "p_type || ' x'"),
+    "c_strip_punctuation": ("p_brand", lambda c: X.strip_punctuation(F.concat(c, F.lit(".-_/!"))), r"regexp_replace(p_brand || '.-_/!', '[^\p{L}\p{N} ]', '', 'g')"),
+    "c_regex_replace": ("p_brand", lambda c: X.step("regex_replace", c, pattern=r"^Brand#(\d)(\d)$", replacement="$2$1"), r"regexp_replace(p_brand, '^Brand#(\d)(\d)$', '\2\1')"),
+    "c_nullify": ("p_brand", lambda c: X.nullify(c, ["brand#11", "Brand#22"]), "CASE WHEN upper(p_brand) IN ('BRAND#11', 'BRAND#22') THEN NULL ELSE p_brand END"),
+    "c_strip_tokens": ("p_type", lambda c: X.strip_tokens(c, ["tin", "nickel", "brass", "steel", "copper"]), r"regexp_replace(p_type, '(?i)(\s+(?:tin|nickel|brass|steel|copper))+$', '')"),
+    "c_lookup": ("p_brand", lambda c: X.lookup(c, {"BRAND#11": "eleven"}), "CASE WHEN upper(p_brand) = 'BRAND#11' THEN 'eleven' ELSE p_brand END"),
+    "f_sorted_tokens": ("p_name", X.sorted_tokens, "nullif(array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' '), '')"),
+    "f_token_set": ("p_name", X.token_set, "nullif(array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' | '), '')"),
+    "f_first_token": ("p_name", X.first_token, "string_split(p_name, ' ')[1]"),
+    "f_last_token": ("p_name", X.last_token, "string_split(p_name, ' ')[-1]"),
+    "f_initials": ("p_type", X.initials, "array_to_string(list_transform(string_split(p_type, ' '), lambda w: substr(w, 1, 1)), '')"),
+    "f_company_number": ("p_partkey", lambda c: X.company_number(c.cast("string")), "CASE WHEN length(p_partkey::VARCHAR) < 2 THEN NULL WHEN length(p_partkey::VARCHAR) < 8 THEN lpad(p_partkey::VARCHAR, 8, '0') ELSE p_partkey::VARCHAR END"),
+}
+
+
+def _text_query(name):
+    column, build, sql = TEXT[name]
+
+    def run(spark, d):
+        return table(spark, d, "part").select("p_partkey", build(F.col(column)).alias("value"))
+
+    query(name, f"SELECT p_partkey, {sql} AS value FROM part")(run)
+
+
+for _n in TEXT:
+    _text_query(_n)
+
+
+@query(
+    "c_accent_fold",
+    "SELECT doc_id, md5(strip_accents(nfc_normalize(lower(text)))) AS folded FROM documents WHERE lang IN ('fr', 'es')",
+)
+def c_accent_fold(spark, d):
+    docs = table(spark, d, "documents").where("lang IN ('fr', 'es')")
+    return docs.select("doc_id", F.md5(X.accent_fold(F.lower("text"))).alias("folded"))
+
+
+@query("c_nullify_outside_range", "SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN p_size END AS size_kept FROM part")
+def c_nullify_outside_range(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.nullify_outside(F.col("p_size"), 10, 40).alias("size_kept"))
+
+
+@query("c_concat_keys", "SELECT s_suppkey, s_nationkey::VARCHAR || '|' || s_name AS key FROM supplier")
+def c_concat_keys(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", X.concat_keys([F.col("s_nationkey").cast("string"), F.col("s_name")]).alias("key"))
+
+
+# ------------------------------------------------------------ conditions, tracks, derived columns
+
+CONDITIONS = {
+    "p_equals": ({"column": "c_mktsegment", "op": "equals", "value": " building "}, "upper(c_mktsegment) = 'BUILDING'"),
+    "p_not_in": ({"column": "c_mktsegment", "op": "not_in", "values": ["BUILDING", "machinery"]}, "upper(c_mktsegment) NOT IN ('BUILDING', 'MACHINERY')"),
+    "p_starts_with": ({"column": "c_mktsegment", "op": "starts_with", "values": ["b", "HOUSE"]}, "upper(c_mktsegment) SIMILAR TO '(B|HOUSE).*'"),
+    "p_contains_token": ({"column": "c_mktsegment", "op": "contains_token", "values": ["machinery", "furniture"]}, "upper(c_mktsegment) IN ('MACHINERY', 'FURNITURE')"),
+    "p_matches": ({"column": "c_name", "op": "matches", "value": "[02468]$"}, "regexp_matches(c_name, '[02468]$')"),
+    "p_is_null": ({"column": "c_mktsegment", "op": "is_null"}, "c_mktsegment IS NULL OR trim(c_mktsegment) = ''"),
+}
+
+
+def _condition_query(name):
+    spec, sql = CONDITIONS[name]
+
+    def run(spark, d):
+        df = table(spark, d, "customer")
+        return df.select("c_custkey", P.condition(df, spec).alias("holds"))
+
+    query(name, f"SELECT c_custkey, coalesce({sql}, false) AS holds FROM customer")(run)
+
+
+for _n in CONDITIONS:
+    _condition_query(_n)
+
+
+@query(
+    "p_track_assignment",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 1 THEN 'organisation' WHEN c_mktsegment = 'MACHINERY' THEN 'organisation' ELSE 'person' END AS track,
+       CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 1 THEN 0 WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE -1 END AS track_rule FROM customer""",
+)
+def p_track_assignment(spark, d):
+    rules = [
+        {"track": "organisation", "when": [{"column": "c_mktsegment", "op": "equals", "value": "building"}, {"column": "c_nationkey", "op": "equals", "value": "1"}]},
+        {"track": "organisation", "when": [{"column": "c_mktsegment", "op": "equals", "value": "machinery"}]},
+    ]
+    return P.assign_tracks(table(spark, d, "customer"), rules, "person").select("c_custkey", "track", "track_rule")
+
+
+@query(
+    "p_derived_transitions",
+    "SELECT lang AS \"from\", 'western' AS \"to\", count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang",
+)
+def p_derived_transitions(spark, d):
+    docs = table(spark, d, "documents")
+    out = P.derive(docs, "region", "lang", [{"value": "western", "when": [{"column": "lang", "op": "in", "values": ["de", "fr"]}]}])
+    return P.transitions(out, "lang", "region")
+
+
+@query(
+    "c_two_track_clean",
+    "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'organisation' ELSE 'person' END AS track, CASE WHEN c_mktsegment = 'BUILDING' THEN lower(c_name) END AS org_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN upper(c_name) END AS person_name FROM customer",
+)
+def c_two_track_clean(spark, d):
+    tracked = P.assign_tracks(table(spark, d, "customer"), [{"track": "organisation", "when": [{"column": "c_mktsegment", "op": "equals", "value": "BUILDING"}]}], "person")
+    steps = {"organisation": [{"source": "c_name", "target": "org_name", "op": "lower"}], "person": [{"source": "c_name", "target": "person_name", "op": "upper"}]}
+    return P.clean_tracks(tracked, steps).select("c_custkey", "track", "org_name", "person_name")
+
+
+# ------------------------------------------------------------ exact match and units
+
+NORM_SQL = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
+
+
+def _records(spark, d):
+    norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), norm.alias("norm"), F.substring(norm, 1, 60).alias("head60"), "lang", "source")
+
+
+RECORDS = f"records AS (SELECT doc_id::VARCHAR AS record_id, {NORM_SQL} AS norm, substr({NORM_SQL}, 1, 60) AS head60, lang, source FROM documents)"
+KEYS = [M.MatchKey("text", ["norm"], 1), M.MatchKey("head", ["source", "head60"], 2, max_distinct=("lang", 1), max_group_size=20)]
+MEMBERS_SQL = f"""{RECORDS},
+g1 AS (SELECT norm, count(*) AS n, min(record_id) AS head FROM records WHERE norm <> '' GROUP BY norm HAVING count(*) >= 2),
+g2 AS (SELECT source, head60, count(*) AS n, min(record_id) AS head, count(DISTINCT lang) AS d FROM records WHERE head60 <> '' AND trim(source) <> '' GROUP BY ALL HAVING count(*) >= 2),
+mem AS (SELECT 'text' AS key_id, head, record_id, NULL AS guard FROM records JOIN g1 USING (norm)
+  UNION ALL SELECT 'head', head, record_id, CASE WHEN n > 20 THEN 'max_group_size:' || n || '>20' WHEN d > 1 THEN 'max_distinct:lang=' || d || '>1' END FROM records JOIN g2 USING (source, head60))"""
+CC_SQL = """e AS (SELECT DISTINCT head AS a, record_id AS b FROM mem WHERE guard IS NULL UNION SELECT record_id, head FROM mem WHERE guard IS NULL),
+reach AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
+cc AS (SELECT node, least(min(other), node) AS component FROM reach GROUP BY node)"""
+
+
+def FLAGSHIP(spark, d):
+    return m_exact_groups(spark, d)
+
+
+@query(
+    "m_exact_groups",
+    f"""WITH RECURSIVE {MEMBERS_SQL}, {CC_SQL},
+ids AS (SELECT component, CASE WHEN bool_or(key_id = 'text') AND bool_or(key_id = 'head') THEN 'text|head' WHEN bool_or(key_id = 'text') THEN 'text' ELSE 'head' END AS key_ids FROM mem JOIN cc ON cc.node = mem.record_id WHERE guard IS NULL GROUP BY component)
+SELECT node AS record_id, 'X-' || component AS group_id, 'merged' AS status, key_ids, NULL::VARCHAR AS guard FROM cc JOIN ids USING (component)
+UNION ALL SELECT record_id, 'H-' || key_id || '-' || head, 'held', key_id, guard FROM mem WHERE guard IS NOT NULL""",
+)
+def m_exact_groups(spark, d):
+    return M.exact_groups(_records(spark, d), KEYS)
+
+
+@query(
+    "m_key_statistics",
+    f"WITH {MEMBERS_SQL} SELECT key_id, count(DISTINCT head) AS n_groups, count(*) AS n_records, count(guard) AS n_held FROM mem GROUP BY key_id",
+)
+def m_key_statistics(spark, d):
+    return M.key_members(_records(spark, d), KEYS).groupBy("key_id").agg(F.count_distinct("head").alias("n_groups"), F.count("*").alias("n_records"), F.count("guard").alias("n_held"))
+
+
+@query(
+    "u_unit_membership",
+    f"WITH RECURSIVE {MEMBERS_SQL}, {CC_SQL} SELECT record_id, coalesce(component, record_id) AS unit_id FROM records LEFT JOIN cc ON cc.node = record_id",
+)
+def u_unit_membership(spark, d):
+    r = _records(spark, d)
+    return M.units(r, M.exact_groups(r, KEYS))
+
+
+@query(
+    "u_modal_representative",
+    f"""WITH RECURSIVE {MEMBERS_SQL}, {CC_SQL}, u AS (SELECT records.*, coalesce(component, record_id) AS unit_id FROM records LEFT JOIN cc ON cc.node = record_id),
+v AS (SELECT unit_id, source, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, min(record_id)) AS r FROM u WHERE source IS NOT NULL GROUP BY unit_id, source)
+SELECT unit_id, source FROM v WHERE r = 1""",
+)
+def u_modal_representative(spark, d):
+    r = _records(spark, d)
+    return M.modal_values(r.join(M.units(r, M.exact_groups(r, KEYS)), "record_id"), "unit_id", "source")
+
+
+@query(
+    "m_group_evaluation",
+    f"""WITH g AS (SELECT {NORM_SQL} AS k, source AS label FROM documents), n AS (SELECT coalesce(sum(c * (c - 1) // 2), 0)::BIGINT AS p FROM (SELECT count(*) AS c FROM g GROUP BY k, label)),
+f AS (SELECT coalesce(sum(c * (c - 1) // 2), 0)::BIGINT AS p FROM (SELECT count(*) AS c FROM g GROUP BY k)), r AS (SELECT coalesce(sum(c * (c - 1) // 2), 0)::BIGINT AS p FROM (SELECT count(*) AS c FROM g GROUP BY label))
+SELECT n.p AS true_pairs, f.p AS found_pairs, r.p AS label_pairs, round(n.p / f.p, 6) AS precision, round(n.p / r.p, 6) AS recall FROM n, f, r""",
+)
+def m_group_evaluation(spark, d):
+    return D.pair_figures(_records(spark, d), "norm", "source")
+
+
+# ------------------------------------------------------------ blocking
+
+@query(
+    "b_rule_pricing",
+    "SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS pairs FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)",
+)
+def b_rule_pricing(spark, d):
+    return B.price(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query(
+    "b_rule_pricing_differs",
+    "SELECT ((SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)) - (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)))::BIGINT AS pairs",
+)
+def b_rule_pricing_differs(spark, d):
+    return B.price(table(spark, d, "customer"), ["c_nationkey"], differ="c_mktsegment")
+
+
+@query(
+    "b_hot_key_control",
+    """WITH s AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT o_orderpriority, sum(n)::BIGINT AS n FROM s GROUP BY 1)
+SELECT block, n FROM (SELECT o_orderpriority AS block, n FROM a WHERE n <= 100 UNION ALL SELECT s.o_orderpriority || chr(31) || s.o_orderstatus, s.n FROM s JOIN a USING (o_orderpriority) WHERE a.n > 100)""",
+)
+def b_hot_key_control(spark, d):
+    return B.control_hot_keys(table(spark, d, "orders"), ["o_orderpriority"], 100, ["o_orderstatus"]).groupBy("block").agg(F.count("*").alias("n"))
+
+
+def _suppliers(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 500).cast("long").alias("band"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))
+
+
+SUPPLIERS = "s AS (SELECT s_suppkey::VARCHAR AS id, s_nationkey AS nation, floor(s_acctbal / 500)::BIGINT AS band, s_acctbal AS balance, s_name AS name FROM supplier)"
+PAIRS = f"""{SUPPLIERS}, p AS (SELECT a.id AS id_l, b.id AS id_r, CASE WHEN a.nation = b.nation THEN 0 ELSE 1 END AS match_key, a.balance AS bl, b.balance AS br, a.nation AS nl, b.nation AS nr, a.band AS dl, b.band AS dr, a.name AS ml, b.name AS mr
+ FROM s a JOIN s b ON a.id < b.id AND (a.nation = b.nation OR a.band = b.band))"""
+RULES = [["nation"], ["band"]]
+
+
+def _pairs(spark, d):
+    return B.pairs(_suppliers(spark, d), RULES, "id", ["balance", "nation", "band", "name"])
+
+
+@query("b_rule_union", f"WITH {PAIRS} SELECT id_l, id_r, match_key::BIGINT AS match_key FROM p")
+def b_rule_union(spark, d):
+    return _pairs(spark, d).select("id_l", "id_r", "match_key")
+
+
+# ------------------------------------------------------------ comparison levels and scoring
+
+COMPARISONS = [W.Comparison("nation"), W.Comparison("balance", "numeric", [0, 50, 1000]), W.Comparison("name", "levenshtein", [1, 2])]
+GAMMAS = f"""{PAIRS}, g AS (SELECT id_l, id_r, CASE WHEN nl = nr THEN 1 ELSE 0 END AS gamma_nation,
+ CASE WHEN abs(bl - br) <= 0 THEN 3 WHEN abs(bl - br) <= 50 THEN 2 WHEN abs(bl - br) <= 1000 THEN 1 ELSE 0 END AS gamma_balance,
+ CASE WHEN ml = mr THEN 3 WHEN levenshtein(ml, mr) <= 1 THEN 2 WHEN levenshtein(ml, mr) <= 2 THEN 1 ELSE 0 END AS gamma_name FROM p)"""
+
+
+def _levels():
+    # the numeric comparison counts from its loosest limit, the others from theirs to equality
+    return COMPARISONS
+
+
+def _gammas(spark, d):
+    return W.gammas(_pairs(spark, d), _levels())
+
+
+@query("w_comparison_levels", f"WITH {GAMMAS} SELECT * FROM g")
+def w_comparison_levels(spark, d):
+    return _gammas(spark, d)
+
+
+@query("w_gamma_counts", f"WITH {GAMMAS} SELECT gamma_nation, gamma_balance, gamma_name, count(*) AS n FROM g GROUP BY ALL")
+def w_gamma_counts(spark, d):
+    return W.gamma_counts(_gammas(spark, d), _levels())
+
+
+MODEL = W.Model(0.125, {"nation": [0.25, 0.75], "balance": [0.1, 0.2, 0.3, 0.4], "name": [0.1, 0.1, 0.3, 0.5]}, {"nation": [0.75, 0.25], "balance": [0.4, 0.3, 0.2, 0.1], "name": [0.5, 0.3, 0.15, 0.05]})
+
+
+def _weights_sql():
+    parts = ["log2(0.125 / 0.875)"]
+    for c in COMPARISONS:
+        whens = " ".join(f"WHEN {k} THEN log2({MODEL.m[c.column][k]} / {MODEL.u[c.column][k]})" for k in range(c.levels))
+        parts.append(f"CASE gamma_{c.column} {whens} ELSE 0 END")
+    return " + ".join(parts)
+
+
+SCORED = f"{GAMMAS}, w AS (SELECT id_l, id_r, {_weights_sql()} AS weight FROM g), sc AS (SELECT id_l, id_r, round(weight, 6) AS match_weight, round(pow(2, weight) / (1 + pow(2, weight)), 6) AS match_probability FROM w)"
+
+
+def _scored(spark, d):
+    out = W.score(_gammas(spark, d), _levels(), MODEL)
+    return out.select("id_l", "id_r", F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"))
+
+
+@query("w_match_weight", f"WITH {SCORED} SELECT * FROM sc")
+def w_match_weight(spark, d):
+    return _scored(spark, d)
+
+
+@query("w_em_training")
+def w_em_training(spark, d):
+    m = W.train(W.gamma_counts(_gammas(spark, d), _levels()), _levels())
+    rows = [(n, k, round(m.m[n][k], 9), round(m.u[n][k], 9)) for n in m.m for k in range(len(m.m[n]))]
+    return spark.createDataFrame(rows, "column string, level int, m double, u double")
+
+
+# ------------------------------------------------------------ buckets, vetoes, overlays
+
+@query("v_bucket", f"WITH {SCORED} SELECT id_l, id_r, CASE WHEN match_probability >= 0.5 THEN 'accept' WHEN match_probability >= 0.1 THEN 'review' ELSE 'reject' END AS bucket FROM sc")
+def v_bucket(spark, d):
+    return _scored(spark, d).select("id_l", "id_r", D.bucket(F.col("match_probability"), 0.1, 0.5).alias("bucket"))
+
+
+@query(
+    "v_vetoes",
+    f"""WITH {PAIRS}, b AS (SELECT *, CASE WHEN abs(bl - br) <= 400 THEN 'accept' ELSE 'review' END AS bucket FROM p)
+SELECT id_l, id_r, CASE WHEN nl <> nr THEN 'reject' WHEN abs(bl - br) > 200 AND bucket = 'accept' THEN 'review' ELSE bucket END AS bucket,
+ CASE WHEN nl <> nr THEN 'nation' WHEN abs(bl - br) > 200 THEN 'gap' END AS veto_id FROM b""",
+)
+def v_vetoes(spark, d):
+    c = F.col
+    rows = _pairs(spark, d).withColumn("bucket", F.when(F.abs(c("balance_l") - c("balance_r")) <= 400, "accept").otherwise("review"))
+    vetoes = [("gap", D.veto("abs_diff_gt", c("balance_l"), c("balance_r"), 200), "review"), ("nation", D.veto("differs", c("nation_l"), c("nation_r")), "reject")]
+    return D.apply_vetoes(rows, vetoes).select("id_l", "id_r", "bucket", "veto_id")
+
+
+@query("v_pair_counts", f"WITH {SCORED} SELECT count(*) FILTER (match_probability >= 0.5) AS accepted, count(*) FILTER (match_probability >= 0.1 AND match_probability < 0.5) AS review, count(*) AS total FROM sc")
+def v_pair_counts(spark, d):
+    p = F.col("match_probability")
+    return _scored(spark, d).agg(F.count_if(p >= 0.5).alias("accepted"), F.count_if((p >= 0.1) & (p < 0.5)).alias("review"), F.count("*").alias("total"))
+
+
+@query("h_latest_label", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def h_latest_label(spark, d):
+    return D.latest(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+# ------------------------------------------------------------ clusters and entities
+
+EDGES = "e0 AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, abs(a.s_acctbal - b.s_acctbal) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey), ed AS (SELECT src, dst FROM e0 WHERE gap <= 600)"
+REACH = """both_ways AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a),
+cc AS (SELECT node, least(min(other), node) AS component FROM reach GROUP BY node)"""
+
+
+def _edges(spark, d):
+    s = table(spark, d, "supplier")
+    l, r = (s.select(F.col("s_suppkey").alias(k), F.col("s_nationkey").alias(f"n{k}"), F.col("s_acctbal").alias(f"b{k}")) for k in ("src", "dst"))
+    gap = F.abs(F.col("bsrc") - F.col("bdst"))
+    return l.join(r, (F.col("nsrc") == F.col("ndst")) & (F.col("src") < F.col("dst"))).withColumn("gap", gap).where("gap <= 600").select("src", "dst", "gap")
+
+
+@query("g_connected_components", f"WITH RECURSIVE {EDGES}, {REACH} SELECT node, component FROM cc")
+def g_connected_components(spark, d):
+    return connected_components(_edges(spark, d))
+
+
+CLUSTERS = f"{EDGES}, {REACH}, mem AS (SELECT s_suppkey AS unit_id, 'C-' || coalesce(component, s_suppkey) AS cluster_id, s_suppkey % 3 AS existing_id FROM supplier LEFT JOIN cc ON node = s_suppkey)"
+
+
+def _clusters(spark, d):
+    u = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit_id"))
+    return G.clusters(u, _edges(spark, d)).withColumn("existing_id", F.col("unit_id") % 3)
+
+
+@query("g_cluster_ids", f"WITH RECURSIVE {CLUSTERS} SELECT unit_id, cluster_id FROM mem")
+def g_cluster_ids(spark, d):
+    return _clusters(spark, d).select("unit_id", "cluster_id")
+
+
+@query(
+    "g_gate",
+    f"""WITH RECURSIVE {CLUSTERS}, pr AS (SELECT src, dst, 1 - gap / 700 AS p FROM e0 WHERE gap <= 600), per AS (SELECT cluster_id, count(*) AS n_units, count(DISTINCT existing_id) AS n_ids FROM mem GROUP BY 1),
+wk AS (SELECT m.cluster_id, min(p) AS weakest FROM pr JOIN mem m ON m.unit_id = src JOIN mem k ON k.unit_id = dst WHERE m.cluster_id = k.cluster_id GROUP BY 1),
+f AS (SELECT cluster_id, n_units, n_units >= 2 AND n_units > 5 AS big, coalesce(n_units >= 2 AND weakest < 0.2, false) AS weak, n_units >= 2 AND n_ids > 1 AS mixed FROM per LEFT JOIN wk USING (cluster_id))
+SELECT cluster_id, n_units, CASE WHEN big THEN 'too_large' WHEN weak THEN 'weak_link' WHEN mixed THEN 'mixed_ids' ELSE 'ok' END AS status,
+ concat_ws('|', CASE WHEN big THEN 'too_large' END, CASE WHEN weak THEN 'weak_link' END, CASE WHEN mixed THEN 'mixed_ids' END) AS statuses FROM f""",
+)
+def g_gate(spark, d):
+    scored = _edges(spark, d).select("src", "dst", (1 - F.col("gap") / 700).alias("p"))
+    return G.gate(_clusters(spark, d), scored, max_units=5)
+
+
+@query("g_import_star", "SELECT min(s_suppkey) OVER (PARTITION BY s_nationkey) AS src, s_suppkey AS dst FROM supplier QUALIFY src <> dst")
+def g_import_star(spark, d):
+    return G.import_stars(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+
+
+@query(
+    "e_consensus",
+    """WITH v AS (SELECT o_custkey, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY o_custkey) AS top FROM v)
+SELECT o_custkey, min(value) FILTER (n = top) AS value, CASE WHEN sum(n) = 1 THEN 'single' WHEN count(*) FILTER (n = top) > 1 THEN 'tie' ELSE 'majority' END AS basis, sum(n)::BIGINT AS n_votes FROM t GROUP BY o_custkey""",
+)
+def e_consensus(spark, d):
+    return G.consensus(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("e_mint_counter", "SELECT c_name, 'E' || lpad(row_number() OVER (ORDER BY c_name)::VARCHAR, 8, '0') AS entity_id FROM customer")
+def e_mint_counter(spark, d):
+    return G.mint(table(spark, d, "customer"), "c_name")
+
+
+# ------------------------------------------------------------ evaluation and read path
+
+@query("d_score_histogram", "SELECT least(floor((c_acctbal + 1000) / 11000 * 20), 19)::BIGINT AS bin, count(*) AS n FROM customer GROUP BY bin")
+def d_score_histogram(spark, d):
+    return D.histogram(table(spark, d, "customer").withColumn("s", (F.col("c_acctbal") + 1000) / 11000), "s", 20)
+
+
+@query(
+    "t_threshold_grid",
+    """WITH r AS (SELECT least(floor(l_discount * 10 * 20), 20)::BIGINT AS step, (l_returnflag = 'R')::BIGINT AS y FROM lineitem), c AS (SELECT step, count(*) AS n, sum(y)::BIGINT AS h FROM r GROUP BY step),
+a AS (SELECT step, sum(n) OVER (ORDER BY step DESC)::BIGINT AS predicted, sum(h) OVER (ORDER BY step DESC)::BIGINT AS hits, sum(h) OVER ()::BIGINT AS every FROM c)
+SELECT step / 20 AS threshold, predicted, hits, round(hits / predicted, 6) AS precision,
+ round((hits / predicted + 1.96 * 1.96 / (2 * predicted)) / (1 + 1.96 * 1.96 / predicted) - 1.96 * sqrt(hits / predicted * (1 - hits / predicted) / predicted + 1.96 * 1.96 / (4 * predicted * predicted)) / (1 + 1.96 * 1.96 / predicted), 6) AS precision_low,
+ round(hits / every, 6) AS recall FROM a""",
+)
+def t_threshold_grid(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("s"), (F.col("l_returnflag") == "R").alias("y"))
+    return D.threshold_grid(rows, "s", "y")
+
+
+@query("t_amount_quantiles", "SELECT o_custkey, round(quantile_cont(log10(o_totalprice + 1), 0.25), 6) AS q25, round(quantile_cont(log10(o_totalprice + 1), 0.75), 6) AS q75 FROM orders WHERE o_totalprice > 0 GROUP BY o_custkey")
+def t_amount_quantiles(spark, d):
+    v = F.log10(F.col("o_totalprice") + 1)
+    q = lambda p: F.round(F.percentile(v, F.lit(p)), 6)
+    return table(spark, d, "orders").where("o_totalprice > 0").groupBy("o_custkey").agg(q(0.25).alias("q25"), q(0.75).alias("q75"))
+
+
+@query("r_records_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 100")
+def r_records_page(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").offset(100).limit(50)
+
+
+@query("r_facet_counts", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_totalprice > 100000) AS large, count(DISTINCT o_custkey) AS customers FROM orders")
+def r_facet_counts(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 100000).alias("large"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("r_unit_events", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 200")
+def r_unit_events(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    return table(spark, d, "events").select("user_id", "event_id", "ts").withColumn("r", F.row_number().over(w)).where("r <= 200").drop("r")
+
+
+@query("j_link_only_exact", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100)")
+def j_link_only_exact(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.floor(F.col("c_acctbal") / 100) == F.floor(F.col("s_acctbal") / 100))).select("c_custkey", "s_suppkey")

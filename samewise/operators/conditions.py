@@ -1,0 +1,102 @@
+"""Declarative conditions, tracks and derived columns as Column expressions."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from samewise.functions.text import blank_to_null, step, trim
+
+
+def _norm(c: Column) -> Column:
+    return F.upper(blank_to_null(trim(c.cast("string"))))
+
+
+def _any(parts: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
+
+
+def condition(df: DataFrame, spec: dict) -> Column:
+    """{column, op, value | values} to a boolean that is never null.
+
+    Text compares trimmed and without case; blanks are null. Apart from
+    is_null, not_equals and not_in nothing holds for null. A missing column
+    makes any condition false.
+    """
+    if spec["column"] not in df.columns:
+        return F.lit(False)
+    raw = F.col(f"`{spec['column']}`").cast("string")
+    c, op = _norm(raw), spec["op"]
+    values = [str(v).strip().upper() for v in spec.get("values", [spec.get("value", "")])]
+    phrases = "|".join(sorted((re.escape(v) for v in values), key=len, reverse=True))
+    found = {
+        "equals": lambda: c == values[0],
+        "in": lambda: c.isin(values),
+        "not_equals": lambda: ~F.coalesce(c == values[0], F.lit(False)),
+        "not_in": lambda: ~F.coalesce(c.isin(values), F.lit(False)),
+        "is_null": lambda: c.isNull(),
+        "not_null": lambda: c.isNotNull(),
+        "starts_with": lambda: _any([c.startswith(v) for v in values if v]),
+        "starts_with_token": lambda: c.rlike(rf"^(?:{phrases})(?:\s|$)"),
+        "ends_with_token": lambda: c.rlike(rf"(?:^|\s)(?:{phrases})[.,\s]*$"),
+        "contains_token": lambda: c.rlike(rf"(?:^|\s)(?:{phrases})(?:\s|$)"),
+        "matches": lambda: raw.rlike("(?i)" + str(spec["value"])),
+    }
+    if op not in found:
+        raise ValueError(f"unknown condition: {op}")
+    return F.coalesce(found[op](), F.lit(False))
+
+
+def when_all(df: DataFrame, specs: Sequence[dict]) -> Column:
+    out = F.lit(True)
+    for s in specs:
+        out = out & condition(df, s)
+    return out
+
+
+def first_match(df: DataFrame, rules: Sequence[dict], default: Column, label: str) -> Column:
+    out = default
+    for r in reversed(rules):
+        out = F.when(when_all(df, r.get("when", [])), F.lit(r[label])).otherwise(out)
+    return out
+
+
+def assign_tracks(df: DataFrame, rules: Sequence[dict], default: str) -> DataFrame:
+    """track: that of the first rule whose conditions hold; track_rule: its index, -1 for the default."""
+    numbered = [r | {"index": i} for i, r in enumerate(rules)]
+    return df.withColumns({"track": first_match(df, rules, F.lit(default), "track"), "track_rule": first_match(df, numbered, F.lit(-1), "index")})
+
+
+def derive(df: DataFrame, target: str, source: str, rules: Sequence[dict]) -> DataFrame:
+    """<target>: the first matching rule's literal, else the source; <target>_rule: its index or null."""
+    numbered = [r | {"index": i} for i, r in enumerate(rules)]
+    return df.withColumns({target: first_match(df, rules, F.col(f"`{source}`").cast("string"), "value"), f"{target}_rule": first_match(df, numbered, F.lit(None).cast("int"), "index")})
+
+
+def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(from, to, n) over the rows that changed."""
+    return df.where(~F.col(before).eqNullSafe(F.col(after))).groupBy(F.col(before).alias("from"), F.col(after).alias("to")).agg(F.count("*").alias("n"))
+
+
+def clean(df: DataFrame, steps: Sequence[dict]) -> DataFrame:
+    """Cleaning steps {source, target, op, args} in order; one projection a step, fused by the optimiser."""
+    for s in steps:
+        if s["source"] not in df.columns:
+            raise ValueError(f"no column {s['source']}")
+        df = df.withColumn(s["target"], step(s["op"], F.col(f"`{s['source']}`").cast("string"), **s.get("args", {})))
+    return df
+
+
+def clean_tracks(df: DataFrame, steps: dict[str, Sequence[dict]]) -> DataFrame:
+    """Each track's steps on its rows; columns that a track lacks are null."""
+    out = None
+    for track, own in steps.items():
+        part = clean(df.where(F.col("track") == track), own)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, pick
-from samewise.llm.tokens import END, ByteEncoder, byte_encoder, squeeze, token_rows, unsqueeze
+from samewise.llm.tokens import END, ByteEncoder, byte_encoder, squeeze, unsqueeze
 from samewise.plans.materialize import save, shared_path
 
 LENGTH = 2048
@@ -63,17 +63,31 @@ def _local(path: str) -> str:
     return u.path
 
 
-def _placed_rows(encoder):
-    """token_rows() with `inside`, the tokens of the part before each row, and without the source."""
-    rows = token_rows(encoder)
+def _joined(pieces: list) -> list:
+    """The documents of a sequence's pieces; every run starts with a document of its own."""
+    return [d for p in pieces for d in p[4]]
+
+
+RUN = 256  # documents whose ids are kept as one compressed run
+
+
+def _runs(encoder):
+    """For mapInArrow over (id, text): (part, docs, lengths, inside, ids), a row for RUN documents in order; inside: the tokens of the part before."""
 
     def run(batches):
-        before = 0
-        for b in rows(batches):
-            n = np.asarray(b.column("n"))
-            inside = before + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("part", "id", "n", "ids")] + [pa.array(inside, pa.int64())], names=["part", "id", "n", "ids", "inside"])
+        from pyspark import TaskContext
+
+        part, inside = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo in range(0, b.num_rows, RUN):
+                some = b.slice(lo, RUN)
+                ids = [encoder(t) for t in some.column(1).to_pylist()]
+                whole = np.concatenate(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([some.column(0).to_pylist()], pa.list_(some.column(0).type)), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([inside], pa.int64()), pa.array([squeeze(whole)], pa.binary())],
+                    names=["part", "docs", "lengths", "inside", "ids"],
+                )
+                inside += len(whole)
 
     return run
 
@@ -91,37 +105,34 @@ def write_shards(
     table writes nothing. The result is lazy: the files are written as it is
     computed.
     """
-    rows = pick(docs, id=id_col, text=text_col).select("id", F.lit(None).cast("string").alias("source"), "text")
+    rows = pick(docs, id=id_col, text=text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    tokens = save(rows.mapInArrow(_placed_rows(encoder or byte_encoder()), f"part int, id {id_type}, n long, ids binary, inside long"), "shards-tokens")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    tokens = save(rows.mapInArrow(_runs(encoder or byte_encoder()), f"part int, docs array<{id_type}>, lengths array<bigint>, inside long, ids binary"), "shards-tokens")
+    sized = tokens.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
+    parts = sized.groupBy("part").agg(F.sum("n").alias("n"))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     n_sequences = -(-total // length)
     n_shards = max(1, -(-n_sequences // shard_sequences))
     # the stream: the parts in order (a row for each task), the rows of a part in order
-    parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     def cut(batches):
         for b in batches:
-            shard, slot, seq, off, doc, raw = [], [], [], [], [], []
-            for g, i, ids in zip(b.column("at").to_pylist(), range(b.num_rows), b.column("ids").to_pylist(), strict=True):
-                x = unsqueeze(ids)
+            cols: list[list] = [[] for _ in range(6)]
+            kind = b.schema.field("docs").type
+            for g, docs_, lengths, ids in zip(*(b.column(c).to_pylist() for c in ("at", "docs", "lengths", "ids")), strict=True):
+                x, ends = unsqueeze(ids), np.cumsum(lengths)
                 k = np.arange(g // length, (g + len(x) - 1) // length + 1)
                 for s, to in zip(k.tolist(), permute(k, n_sequences, key).tolist(), strict=True):
-                    lo = max(0, s * length - g)
-                    shard.append(to // shard_sequences)
-                    slot.append(to)
-                    seq.append(s)
-                    off.append(g + lo - s * length)
-                    doc.append(i)
-                    raw.append(squeeze(x[lo : (s + 1) * length - g]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32())] + [pa.array(x, pa.int64()) for x in (slot, seq, off)] + [b.column("id").take(pa.array(doc, pa.int64())), pa.array(raw, pa.binary())],
-                names=["shard", "slot", "sequence_id", "off", "id", "raw"],
-            )
+                    lo, hi = max(0, s * length - g), min(len(x), (s + 1) * length - g)
+                    first, last = np.searchsorted(ends, [lo, hi - 1], "right").tolist()
+                    for col, v in zip(cols, (to // shard_sequences, to, s, g + lo - s * length, docs_[first : last + 1], squeeze(x[lo:hi])), strict=True):
+                        col.append(v)
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "slot", "sequence_id", "off", "docs", "raw"])
 
     # a row for each task of the one before, so it goes to all
-    placed = tokens.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inside")).alias("at"), "id", "ids")
-    pieces = placed.mapInArrow(cut, f"shard int, slot long, sequence_id long, off long, id {id_type}, raw binary")
+    placed = tokens.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inside")).alias("at"), "docs", "lengths", "ids")
+    pieces = placed.mapInArrow(cut, f"shard int, slot long, sequence_id long, off long, docs array<{id_type}>, raw binary")
     dealt = pieces.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "slot", "off")
     to = _local(folder)
 
@@ -140,7 +151,7 @@ def write_shards(
             full[: len(ids)] = ids
             f.write(full.tobytes())
             r = held[0]
-            done.append((r[1], r[2], r[0], (r[1] % shard_sequences) * 2 * length, len(ids), [x[4] for x in held], zlib.crc32(full.tobytes())))
+            done.append((r[1], r[2], r[0], (r[1] % shard_sequences) * 2 * length, len(ids), _joined(held), zlib.crc32(full.tobytes())))
             held.clear()
 
         def close_shard():
@@ -150,12 +161,12 @@ def write_shards(
         def flush(kind):
             cols = list(zip(*done, strict=True)) or [()] * 7
             done.clear()
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["slot", "sequence_id", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"])
 
         kind = None
         for b in batches:
-            kind = b.schema.field("id").type
+            kind = b.schema.field("docs").type
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[1] != now and held:
                     close_sequence()

@@ -68,7 +68,7 @@ def byte_encoder() -> ByteEncoder:
 
 
 def squeeze(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2").tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(ids.astype("<u2").tobytes())
 
 
 def unsqueeze(raw: bytes) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, pick
-from samewise.plans.materialize import shuffle_partitions
+from samewise.plans.materialize import save, shuffle_partitions
 
 SAMPLES = 256  # of a walk, about; a step in 2**k is kept, with the least k that gives no more
 PERIOD = 8192  # steps after which the walk's bits come again
@@ -131,25 +131,30 @@ def bands(fp: str) -> list[str]:
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(a, b, likeness): ids linked because their fingerprints share a band and are alike.
 
-    Equal texts are one: the smallest id stands for them. Within a band all
-    are held against its smallest id, so a band of any size gives a row for
-    each member at most. Null ids are left out; null texts are empty.
+    Equal texts are one: the smallest id stands for them. Other texts of equal
+    fingerprints are linked to the smallest id of theirs, which stands for
+    them in the bands. Within a band all are held against its smallest id, so
+    a band of any size gives a row for each member at most. Null ids are left
+    out; null texts are empty.
     """
     rows = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
 
     def embed(batches):
         for b in batches:
-            fps = fingerprints([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.string())], names=["id", "fp"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts), pa.string()), pa.array(digests, pa.binary())], names=["id", "fp", "digest"])
 
-    own = rows.mapInArrow(embed, f"id {kind}, fp string").groupBy("fp").agg(F.min("id").alias("id"))
+    texts = save(rows.mapInArrow(embed, f"id {kind}, fp string, digest binary").groupBy("fp", "digest").agg(F.min("id").alias("id")), "editembed-texts")
+    own = texts.groupBy("fp").agg(F.min("id").alias("id"))
+    equal = texts.join(own.withColumnRenamed("id", "head"), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
     keys = F.udf(bands, "array<string>")
     banded = own.select("id", "fp", F.explode(keys("fp")).alias("band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
     alike = F.udf(likeness, "double")
     pairs = banded.join(heads, "band").where(F.col("id") > F.col("head.id")).select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.fp").alias("fa"), F.col("fp").alias("fb")).distinct()
-    return pairs.withColumn("likeness", alike("fa", "fb")).where(F.col("likeness") >= least).select("a", "b", "likeness")
+    return pairs.withColumn("likeness", alike("fa", "fb")).where(F.col("likeness") >= least).select("a", "b", "likeness").unionByName(equal)
 
 
 # ---------------------------------------------------------------- documents and their neighbours

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from samewise.functions import similarity as S
 from samewise.functions import text as X
 from samewise.operators import blocking as B
 from samewise.operators import clusters as G
 from samewise.operators import conditions as P
 from samewise.operators import decisions as D
 from samewise.operators import exact as M
+from samewise.operators import reconcile as R
+from samewise.operators import registry as Y
 from samewise.operators import scoring as W
+from samewise.operators import training as T
 from samewise.operators.graph import connected_components
 
 QUERIES: dict = {}
@@ -535,3 +539,123 @@ def r_unit_events(spark, d):
 def j_link_only_exact(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.floor(F.col("c_acctbal") / 100) == F.floor(F.col("s_acctbal") / 100))).select("c_custkey", "s_suppkey")
+
+
+# ------------------------------------------------------------ similarity, reconciler, registry, training figures
+
+@query("w_jaro_winkler", f"WITH {PAIRS}, t AS (SELECT id_l, id_r, ml || nl AS a, mr || nr AS b FROM p) SELECT id_l, id_r, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM t")
+def w_jaro_winkler(spark, d):
+    a, b = (F.concat(F.col(f"name_{s}"), F.col(f"nation_{s}").cast("string")) for s in "lr")
+    return _pairs(spark, d).select("id_l", "id_r", F.round(S.jaro_winkler_col(a, b), 6).alias("similarity"))
+
+
+@query("w_jaccard", f"WITH {PAIRS}, t AS (SELECT id_l, id_r, list_distinct(string_split(ml, '')) AS a, list_distinct(string_split(mr, '')) AS b FROM p) SELECT id_l, id_r, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM t")
+def w_jaccard(spark, d):
+    return _pairs(spark, d).select("id_l", "id_r", F.round(W.jaccard(F.col("name_l"), F.col("name_r")), 6).alias("similarity"))
+
+
+def _part_pairs(spark, d):
+    p = table(spark, d, "part")
+    l, r = (p.select("p_brand", "p_size", F.col("p_partkey").alias(f"id_{s}"), F.concat("p_name", F.lit(e)).alias(f"name_{s}")) for s, e in (("l", " Limited"), ("r", " (uk) company")))
+    return l.join(r, ["p_brand", "p_size"]).where("id_l < id_r").select("id_l", "id_r", "name_l", "name_r")
+
+
+X_SQL = """WITH q AS (SELECT a.p_partkey AS id_l, b.p_partkey AS id_r, upper(a.p_name) || ' LTD' AS l, upper(b.p_name) || ' CO' AS r, list_distinct(string_split(upper(a.p_name), ' ')) AS x, list_distinct(string_split(upper(b.p_name), ' ')) AS y
+ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey), n AS (SELECT *, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c FROM q),
+v AS (SELECT id_l, id_r, CASE WHEN l = r THEN 'TRUE|high' WHEN a = 0 OR b = 0 THEN 'FALSE|low' WHEN c = a AND c = b THEN 'TRUE|high' WHEN (c = a OR c = b) AND abs(a - b) <= 2 THEN 'TRUE|medium' WHEN c = a OR c = b THEN 'FALSE|medium' WHEN c >= 0.8 * least(a, b) THEN 'TRUE|medium' ELSE 'FALSE|high' END AS v FROM n)"""
+
+
+@query("x_rule_verdicts", X_SQL + " SELECT id_l, id_r, split_part(v, '|', 1) AS verdict, split_part(v, '|', 2) AS confidence FROM v")
+def x_rule_verdicts(spark, d):
+    return R.verdicts(_part_pairs(spark, d), "name_l", "name_r").select("id_l", "id_r", "verdict", "confidence")
+
+
+@query("x_first_true", X_SQL + ", k AS (SELECT id_l, id_r, split_part(v, '|', 1) AS t, row_number() OVER (PARTITION BY id_l, split_part(v, '|', 1) ORDER BY id_r) AS n FROM v) SELECT id_l, id_r, CASE WHEN t = 'TRUE' AND n > 1 THEN 'FALSE' ELSE t END AS verdict FROM k")
+def x_first_true(spark, d):
+    return R.first_true(R.verdicts(_part_pairs(spark, d), "name_l", "name_r"), "id_l", "id_r").select("id_l", "id_r", "verdict")
+
+
+@query(
+    "v_human_overlay",
+    f"""WITH {PAIRS}, b AS (SELECT id_l, id_r, CASE WHEN nl = nr THEN 'accept' ELSE 'reject' END AS bucket FROM p), h AS (SELECT s_suppkey::VARCHAR AS id_l, s_suppkey::VARCHAR || '0' AS id_r, s_suppkey % 2 = 0 AS same FROM supplier)
+SELECT id_l, id_r, CASE WHEN same THEN 'accept' WHEN NOT same THEN 'reject' ELSE bucket END AS bucket, CASE WHEN same IS NULL THEN 'score' ELSE 'human' END AS decided_by FROM b FULL JOIN h USING (id_l, id_r)""",
+)
+def v_human_overlay(spark, d):
+    scored = _pairs(spark, d).select("id_l", "id_r", F.when(F.col("nation_l") == F.col("nation_r"), "accept").otherwise("reject").alias("bucket"))
+    k = F.col("s_suppkey").cast("string")
+    labels = table(spark, d, "supplier").select(k.alias("id_l"), F.concat(k, F.lit("0")).alias("id_r"), (F.col("s_suppkey") % 2 == 0).alias("same"))
+    return Y.human_overlay(scored, labels).select("id_l", "id_r", "bucket", "decided_by")
+
+
+@query("h_pair_key", "SELECT l_orderkey, l_linenumber, least(l_partkey::VARCHAR, l_suppkey::VARCHAR) AS lo, greatest(l_partkey::VARCHAR, l_suppkey::VARCHAR) AS hi FROM lineitem WHERE l_partkey <> l_suppkey")
+def h_pair_key(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("k", Y.ordered_pair(F.col("l_partkey"), F.col("l_suppkey"))).where("k IS NOT NULL")
+    return rows.select("l_orderkey", "l_linenumber", "k.lo", "k.hi")
+
+
+@query("h_decision_star", "SELECT min(o_orderkey) OVER (PARTITION BY o_custkey) AS src, o_orderkey AS dst FROM orders QUALIFY src <> dst")
+def h_decision_star(spark, d):
+    return Y.decision_star(table(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@query(
+    "e_alias_chain",
+    "WITH RECURSIVE a AS (SELECT s_suppkey AS id, s_suppkey // 2 AS alias_of FROM supplier WHERE s_suppkey > 1), w AS (SELECT id, alias_of AS survivor FROM a UNION ALL SELECT w.id, a.alias_of FROM w JOIN a ON a.id = w.survivor) SELECT id, min(survivor) AS survivor FROM w GROUP BY id",
+)
+def e_alias_chain(spark, d):
+    a = table(spark, d, "supplier").where("s_suppkey > 1").select(F.col("s_suppkey").alias("id"), F.expr("s_suppkey div 2").alias("alias_of"))
+    return Y.resolve_aliases(a)
+
+
+@query(
+    "e_publish_plan",
+    """WITH o AS (SELECT c_custkey AS r, c_nationkey AS e FROM customer WHERE c_acctbal > 0), n AS (SELECT c_custkey AS r, CASE WHEN c_mktsegment = 'BUILDING' THEN 99 ELSE c_nationkey END AS e FROM customer WHERE c_acctbal < 5000)
+SELECT r AS record_id, CASE WHEN o.e IS NULL THEN 'new' WHEN n.e IS NULL THEN 'gone' WHEN o.e = n.e THEN 'kept' ELSE 'moved' END AS action FROM o FULL JOIN n USING (r)""",
+)
+def e_publish_plan(spark, d):
+    c = table(spark, d, "customer").withColumn("record_id", F.col("c_custkey"))
+    new = F.when(F.col("c_mktsegment") == "BUILDING", 99).otherwise(F.col("c_nationkey"))
+    return Y.publish_plan(c.where("c_acctbal > 0").withColumn("entity_id", F.col("c_nationkey")), c.where("c_acctbal < 5000").withColumn("entity_id", new))
+
+
+@query(
+    "t_tfidf_cosine",
+    """WITH t AS (SELECT p_partkey AS k, unnest(string_split(lower(p_name), ' ')) AS token FROM part), f AS (SELECT k, token, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM f GROUP BY token),
+w AS (SELECT k, token, tf * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)) + 1) AS w FROM f JOIN df USING (token)), u AS (SELECT k, token, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM w),
+q AS (SELECT a.p_partkey AS id_l, b.p_partkey AS id_r FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+SELECT id_l, id_r, round(coalesce(sum(l.w * r.w), 0), 6) AS cosine FROM q LEFT JOIN u l ON l.k = id_l LEFT JOIN u r ON r.k = id_r AND r.token = l.token GROUP BY id_l, id_r""",
+)
+def t_tfidf_cosine(spark, d):
+    w = T.tfidf(table(spark, d, "part"), "p_partkey", "p_name")
+    return T.cosine(_part_pairs(spark, d), w, "p_partkey", "id_l", "id_r").withColumn("cosine", F.round("cosine", 6))
+
+
+SCORES = "r AS (SELECT round(l_quantity / 100, 2) AS s, l_returnflag = 'R' AS y FROM lineitem)"
+
+
+def _truths(spark, d):
+    return table(spark, d, "lineitem").select(F.round(F.col("l_quantity") / 100, 2).alias("s"), (F.col("l_returnflag") == "R").alias("y"))
+
+
+@query("t_auc_brier", f"WITH {SCORES}, k AS (SELECT s, y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk FROM r) SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc, round(avg(pow(s - y::INT, 2)), 6) AS brier, count(*) AS n FROM k")
+def t_auc_brier(spark, d):
+    return T.auc_brier(_truths(spark, d), "s", "y")
+
+
+@query(
+    "t_reliability",
+    f"""WITH {SCORES}, g AS (SELECT least(floor(s * 10), 9)::BIGINT AS bin, count(*) AS n, avg(s) AS m, sum(y::INT) AS h FROM r GROUP BY 1), q AS (SELECT *, h / n AS p, 1.96 * 1.96 AS zz FROM g)
+SELECT bin, n, round(m, 6) AS mean_score, round(p, 6) AS rate, round((p + zz / (2 * n)) / (1 + zz / n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n), 6) AS low, round((p + zz / (2 * n)) / (1 + zz / n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n), 6) AS high FROM q""",
+)
+def t_reliability(spark, d):
+    return T.reliability(_truths(spark, d), "s", "y")
+
+
+@query("r_usefulness", f"WITH {SCORED} SELECT id_l, id_r, round(0.5 * (1 - abs(2 * match_probability - 1)), 6) AS useful FROM sc")
+def r_usefulness(spark, d):
+    return _scored(spark, d).select("id_l", "id_r", F.round(0.5 * (1 - F.abs(2 * F.col("match_probability") - 1)), 6).alias("useful"))
+
+
+@query("r_cluster_queue", f"WITH RECURSIVE {CLUSTERS} SELECT cluster_id, count(*) AS n_units, min(unit_id) AS representative FROM mem GROUP BY cluster_id HAVING count(*) >= 2")
+def r_cluster_queue(spark, d):
+    return _clusters(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n_units"), F.min("unit_id").alias("representative")).where("n_units >= 2")

@@ -20,7 +20,7 @@ WINDOW = 16  # bytes that a cut depends on: the hash has as many bits and is shi
 WORD_CUTS = 5  # one in so many word ends is a cut
 INNER_CUTS = 256  # one in so many other characters, for texts without white space
 LONGEST = 2048  # bytes of a chunk at most
-BLOCK = 16 << 20  # bytes of text that are cut and compared at once in a task
+BLOCK = 4 << 20  # bytes of text that are cut and compared at once in a task
 MIN_WORDS = 12  # repeated chunks in a row make up a passage from so many words on
 
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)

@@ -1,7 +1,7 @@
 import pytest
 from harness import compare, connect
 
-from samewise import catalogue
+from samewise import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,4 +1,4 @@
 """All queries of the engine; each catalogue adds its own."""
 
-from samewise import catalogue_entities, catalogue_pairs  # noqa: F401
+from samewise import catalogue_entities, catalogue_pairs, catalogue_training  # noqa: F401
 from samewise.catalogue import FLAGSHIP, ORACLE_SQL, QUERIES  # noqa: F401

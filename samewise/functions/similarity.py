@@ -83,3 +83,8 @@ def damerau_levenshtein(a: str, b: str) -> int:
 @pandas_udf(T.IntegerType())
 def damerau_col(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else damerau_levenshtein(a, b) for a, b in zip(left, right, strict=True)], dtype="Int32")
+
+
+@pandas_udf(T.DoubleType())
+def jaro_col(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else jaro(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")

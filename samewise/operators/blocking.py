@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +61,71 @@ def pairs(rows: DataFrame, rules: Sequence[Sequence[str]], id_col: str, carry: S
         made = made.withColumn("match_key", F.lit(i).cast("long"))
         out = made if out is None else out.unionByName(made)
     return out.select("id_l", "id_r", "match_key", *[f"{c}_{s}" for c in carry for s in "lr"])
+
+
+@dataclass
+class Rule:
+    """A blocking rule taken apart: keys that join, columns that must differ, filters of one side, what is left."""
+
+    keys: list[str] = field(default_factory=list)
+    differ: list[str] = field(default_factory=list)
+    filters: list[str] = field(default_factory=list)
+    residual: list[str] = field(default_factory=list)
+
+
+def top_level(text: str, word: str) -> list[str]:
+    """The parts of an expression between a word outside brackets and quotes."""
+    parts, depth, quote, start = [], 0, "", 0
+    for m in re.finditer(rf"['\"()]|\b{word}\b", text, re.IGNORECASE):
+        t = m.group()
+        if quote:
+            quote = "" if t == quote else quote
+        elif t in "'\"":
+            quote = t
+        elif t in "()":
+            depth += 1 if t == "(" else -1
+        elif depth == 0:
+            parts.append(text[start : m.start()].strip())
+            start = m.end()
+    return [*parts, text[start:].strip()]
+
+
+def parse_rule(text: str) -> Rule:
+    """`l.a = r.a AND l.b <> r.b AND ...` as a Rule; with an OR on top all of it is residual."""
+    out = Rule()
+    if len(top_level(text, "OR")) > 1:
+        return Rule(residual=[text])
+    for part in top_level(text, "AND"):
+        m = re.fullmatch(r"([lr])\.(\w+)\s*(=|<>|!=)\s*([lr])\.(\w+)", part, re.IGNORECASE)
+        if m and m[2] == m[5] and m[1].lower() != m[4].lower():
+            (out.keys if m[3] == "=" else out.differ).append(m[2])
+        elif len({s.lower() for s in re.findall(r"\b([lr])\.", part, re.IGNORECASE)}) == 1:
+            out.filters.append(part)
+        else:
+            out.residual.append(part)
+    return out
+
+
+def report(rows: DataFrame, rules: Sequence[Sequence[str]], max_block_size: int, refine: Sequence[str] = ()) -> DataFrame:
+    """(rule, before, after): pairs that each rule would make without and with hot-key control."""
+    out = None
+    for i, rule in enumerate(rules):
+        before = price(rows, rule).select(F.lit(i).alias("rule"), F.col("pairs").alias("before"))
+        after = price(control_hot_keys(rows, rule, max_block_size, refine), ["block"]).select(F.col("pairs").alias("after"))
+        one = before.crossJoin(after)  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def check_budget(rows: DataFrame, rules: Sequence[Sequence[str]], max_pairs: int, max_block_size: int) -> DataFrame:
+    """The report; raises before any pair is made where all rules together would make too many."""
+    got = report(rows, rules, max_block_size)
+    total = got.agg(F.sum("after").alias("n")).head()["n"] or 0
+    if total > max_pairs:
+        raise ValueError(f"blocking would make {total} pairs, over {max_pairs}")
+    return got
+
+
+def numeric_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number-like columns as doubles, so that '1985' and '1985.0' fall into one block; other text is null."""
+    return rows.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})

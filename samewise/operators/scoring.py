@@ -182,7 +182,8 @@ def random_pairs(units: DataFrame, id_col: str, n: int, carry: Sequence[str], se
     """
     total = units.count()
     per = max(2, min(total, 32))
-    share = min(1.0, n / max(1.0, total * (per - 1) / 2))
+    needed = max(2 * n / (per - 1), (1 + math.sqrt(1 + 8 * n)) / 2 if n < per * (per - 1) / 2 else 0)
+    share = min(1.0, needed / max(1, total))
     cells = max(1, int(total * share) // per)
     copies = max(1, math.ceil(n / (cells * per * (per - 1) / 2)))
     rows = units.select(F.col(id_col).cast("string").alias("id"), *carry)

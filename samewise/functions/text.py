@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -146,6 +148,166 @@ def strip_tokens(c: Column, tokens: Sequence[str], position: str = "trailing", k
     return blank_to_null(out)
 
 
+@pandas_udf(T.StructType([T.StructField("rest", T.StringType()), T.StructField("removed", T.StringType())]))
+def _strip_and_keep(s: pd.Series, spec: pd.Series) -> pd.DataFrame:
+    tokens, position, repeat, keep_one = json.loads(spec.iloc[0]) if len(spec) else ([], "leading", True, True)
+    known = {" ".join(t.split()).upper() for t in tokens}
+    longest = max((len(t.split()) for t in known), default=0)
+
+    def length(words: list[str], at: int, back: bool) -> int:
+        """How many words from `at` on (or up to it) are the longest listed phrase."""
+        room = at if back else len(words) - at
+        for n in range(min(longest, room), 0, -1):
+            part = words[at - n : at] if back else words[at : at + n]
+            if " ".join(part).upper() in known:
+                return n
+        return 0
+
+    def one(text):
+        if text is None:
+            return None, None
+        words, gone = text.split(), []
+        at, back = (len(words), True) if position == "trailing" else (0, False)
+        while 0 <= at <= len(words) and words:
+            n = length(words, at, back)
+            if n and not (keep_one and n == len(words)):
+                start = at - n if back else at
+                gone.append((len(gone), " ".join(words[start : start + n])))
+                del words[start : start + n]
+                at = start
+                if not repeat:
+                    break
+            elif position == "anywhere" and at < len(words):
+                at += 1
+            else:
+                break
+        taken = [g for _, g in (reversed(gone) if back else gone)]
+        return " ".join(words) or None, " ".join(taken) or None
+
+    return pd.DataFrame([one(t) for t in s], columns=["rest", "removed"])
+
+
+def strip_and_keep(c: Column, tokens: Sequence[str], position: str = "leading", repeat: bool = True, keep_one: bool = True) -> Column:
+    """struct(rest, removed): listed words and phrases taken off at an end or anywhere, longest first, and what was taken, in order."""
+    if position not in ("leading", "trailing", "anywhere"):
+        raise ValueError(f"unknown position: {position}")
+    return _strip_and_keep(c, F.lit(json.dumps([list(tokens), position, repeat, keep_one])))
+
+
+def lookup_words(c: Column, table: dict[str, str | None], fallback: str = "passthrough") -> Column:
+    """Each word by the table; words without a value go."""
+    pairs = F.create_map(*[F.lit(x).cast("string") for k, v in sorted(table.items()) for x in (k.upper(), v)])
+    keys = F.array(*[F.lit(k.upper()) for k in sorted(table)])
+    other = (lambda w: w) if fallback == "passthrough" else (lambda w: F.lit(None).cast("string"))
+    mapped = F.transform(words(c), lambda w: F.when(F.array_contains(keys, F.upper(w)), F.try_element_at(pairs, F.upper(w))).otherwise(other(w)))
+    return blank_to_null(F.array_join(F.filter(mapped, lambda w: w.isNotNull() & (w != "")), " "))
+
+
+def not_after_years_ago(c: Column, years: int, low: float | None = None) -> Column:
+    """A year that is at least so many years ago and not below low; anything else is null."""
+    n = c.cast("string").try_cast("double")
+    ok = n <= F.year(F.current_date()) - years
+    return F.when(F.coalesce(ok if low is None else ok & (n >= low), F.lit(False)), c)
+
+
+def id_text(c: Column) -> Column:
+    """An id trimmed, without the .0 that spreadsheets leave on whole numbers; words for nothing become empty."""
+    t = F.coalesce(trim(c.cast("string")), F.lit(""))
+    return F.when(F.lower(t).isin("", "nan", "nat", "none", "<na>"), "").otherwise(F.regexp_replace(t, r"^(\d+)\.0$", "$1"))
+
+
+def is_true(c: Column) -> Column:
+    return F.coalesce(F.lower(trim(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
+
+
+def house_number(c: Column) -> Column:
+    """The digits, and a letter after them, that an address begins with."""
+    return blank_to_null(F.upper(F.regexp_extract(trim(c), r"^(\d+[A-Za-z]?)\b", 1)))
+
+
+VOWELS = set("AEIOU")
+
+
+def metaphone_of(text: str) -> str:
+    """Lawrence Philips' first metaphone of the letters of a word or phrase, word by word."""
+    return " ".join(m for m in (_metaphone(w) for w in re.split(r"[^A-Z]+", text.upper())) if m)
+
+
+def _metaphone(word: str) -> str:
+    w = re.sub(r"([A-BD-Z])\1", r"\1", word)
+    for start in ("KN", "GN", "PN", "AE", "WR"):
+        if w.startswith(start):
+            w = w[1:]
+            break
+    else:
+        if w.startswith("X"):
+            w = "S" + w[1:]
+        elif w.startswith("WH"):
+            w = "W" + w[2:]
+    out = []
+    for i, ch in enumerate(w):
+        before, after, third = w[i - 1] if i else "", w[i + 1 : i + 2], w[i + 2 : i + 3]
+        if ch in VOWELS:
+            if i == 0:
+                out.append(ch)
+        elif ch == "B":
+            if not (before == "M" and i == len(w) - 1):
+                out.append("B")
+        elif ch == "C":
+            if after == "I" and third == "A" or after == "H":
+                out.append("K" if before == "S" and after == "H" else "X")
+            elif after and after in "IEY":
+                if before != "S":
+                    out.append("S")
+            else:
+                out.append("K")
+        elif ch == "D":
+            out.append("J" if after == "G" and third and third in "EYI" else "T")
+        elif ch == "G":
+            if after == "H" and third and third not in VOWELS or w[i:] in ("GN", "GNED"):
+                continue
+            if before == "D" and after and after in "EYI":
+                continue
+            out.append("J" if after and after in "IEY" and before != "G" else "K")
+        elif ch == "H":
+            if (not after or after in VOWELS) and before not in set("CSPTG") and (after or before not in VOWELS) and after:
+                out.append("H")
+        elif ch == "K":
+            if before != "C":
+                out.append("K")
+        elif ch == "P":
+            out.append("F" if after == "H" else "P")
+        elif ch == "Q":
+            out.append("K")
+        elif ch == "S":
+            out.append("X" if after == "H" or after == "I" and third and third in "OA" else "S")
+        elif ch == "T":
+            if after == "I" and third and third in "OA":
+                out.append("X")
+            elif after == "H":
+                out.append("0")
+            elif not (after == "C" and third == "H"):
+                out.append("T")
+        elif ch == "V":
+            out.append("F")
+        elif ch in "WY":
+            if after and after in VOWELS:
+                out.append(ch)
+        elif ch == "X":
+            out.append("KS")
+        elif ch == "Z":
+            out.append("S")
+        elif ch in "FJLMNR":
+            out.append(ch)
+    return "".join(out)
+
+
+@pandas_udf(T.StringType())
+def metaphone(s: pd.Series) -> pd.Series:
+    memo: dict[str, str | None] = {}
+    return s.map(lambda t: None if t is None else memo[t] if t in memo else memo.setdefault(t, metaphone_of(t) or None))
+
+
 STEPS = {
     "copy": lambda c: c,
     "upper": F.upper,
@@ -166,6 +328,11 @@ STEPS = {
     "initials": initials,
     "fingerprint": fingerprint,
     "soundex": F.soundex,
+    "metaphone": metaphone,
+    "lookup_words": lookup_words,
+    "not_after_years_ago": not_after_years_ago,
+    "strip_and_keep": lambda c, **a: strip_and_keep(c, **a)["rest"],
+    "house_number": house_number,
     "normalise_postcode": postcode,
     "postcode_district": postcode_district,
     "normalise_company_number": company_number,

@@ -22,6 +22,14 @@ def _any(parts: Sequence[Column]) -> Column:
     return out
 
 
+def phrase(token: str) -> str:
+    """A word or phrase as a pattern that other letters and digits may not touch; inner spaces match any white space."""
+    core = r"\s+".join(re.escape(w) for w in token.split())
+    left = r"(?<![0-9A-Za-z])" if token[:1].isalnum() else ""
+    right = r"(?![0-9A-Za-z])" if token[-1:].isalnum() else ""
+    return f"{left}{core}{right}"
+
+
 def condition(df: DataFrame, spec: dict) -> Column:
     """{column, op, value | values} to a boolean that is never null.
 
@@ -34,7 +42,7 @@ def condition(df: DataFrame, spec: dict) -> Column:
     raw = F.col(f"`{spec['column']}`").cast("string")
     c, op = _norm(raw), spec["op"]
     values = [str(v).strip().upper() for v in spec.get("values", [spec.get("value", "")])]
-    phrases = "|".join(sorted((re.escape(v) for v in values), key=len, reverse=True))
+    phrases = "|".join(phrase(v) for v in sorted({v for v in values if v}, key=lambda v: (-len(v), v))) or "(?!)"
     found = {
         "equals": lambda: c == values[0],
         "in": lambda: c.isin(values),
@@ -43,9 +51,9 @@ def condition(df: DataFrame, spec: dict) -> Column:
         "is_null": lambda: c.isNull(),
         "not_null": lambda: c.isNotNull(),
         "starts_with": lambda: _any([c.startswith(v) for v in values if v]),
-        "starts_with_token": lambda: c.rlike(rf"^(?:{phrases})(?:\s|$)"),
-        "ends_with_token": lambda: c.rlike(rf"(?:^|\s)(?:{phrases})[.,\s]*$"),
-        "contains_token": lambda: c.rlike(rf"(?:^|\s)(?:{phrases})(?:\s|$)"),
+        "starts_with_token": lambda: c.rlike(rf"^(?:{phrases})"),
+        "ends_with_token": lambda: c.rlike(rf"(?:{phrases})[.,\s]*$"),
+        "contains_token": lambda: c.rlike(phrases),
         "matches": lambda: raw.rlike("(?i)" + str(spec["value"])),
     }
     if op not in found:
@@ -73,6 +81,33 @@ def assign_tracks(df: DataFrame, rules: Sequence[dict], default: str) -> DataFra
     return df.withColumns({"track": first_match(df, rules, F.lit(default), "track"), "track_rule": first_match(df, numbered, F.lit(-1), "index")})
 
 
+def rule_hits(tracked: DataFrame) -> DataFrame:
+    """(track_rule, track, n): how many rows each rule decided; -1 is the default."""
+    return tracked.groupBy("track_rule", "track").agg(F.count("*").alias("n"))
+
+
+def trace(df: DataFrame, steps: Sequence[dict], keys: Sequence[str]) -> DataFrame:
+    """keys and, for each step, its source before, its target after and whether that changed: for previews of some rows."""
+    out = df
+    for i, s in enumerate(steps):
+        before = F.col(f"`{s['source']}`").cast("string")
+        old = F.col(f"`{s['target']}`").cast("string") if s["target"] in out.columns else F.lit(None).cast("string")
+        after = step(s["op"], before, **s.get("args", {}))
+        out = out.withColumns({f"step{i}": F.struct(before.alias("before"), after.alias("after"), (~old.eqNullSafe(after)).alias("changed")), s["target"]: after})
+    return out.select(*keys, *[f"step{i}" for i in range(len(steps))])
+
+
+def lineage(columns: Sequence[str], steps: dict[str, Sequence[dict]]) -> dict[str, dict]:
+    """{track: {readable, written}}: what steps may read at the end, and what they write."""
+    out = {}
+    for track, own in steps.items():
+        written = []
+        for s in own:
+            written += [t for t in [s["target"], s.get("keep_as")] if t and t not in written]
+        out[track] = {"readable": [*columns, *[w for w in written if w not in columns]], "written": written}
+    return out
+
+
 def derive(df: DataFrame, target: str, source: str, rules: Sequence[dict]) -> DataFrame:
     """<target>: the first matching rule's literal, else the source; <target>_rule: its index or null."""
     numbered = [r | {"index": i} for i, r in enumerate(rules)]

@@ -26,6 +26,7 @@ class MatchKey:
     max_group_size: int | None = None
     max_distinct: tuple[str, int] | None = None
     review: bool = True
+    require_any: Sequence[str] = field(default_factory=list)  # a passing group falls into parts that share a value in one of these
 
 
 def eligible(records: DataFrame, key: MatchKey):
@@ -58,6 +59,7 @@ def key_members(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "rec
         earlier[key.tier] = earlier.get(key.tier, F.lit(False)) | ok
         names = [f"k{i}" for i in range(len(key.columns))]
         extra = [F.col(f"`{key.max_distinct[0]}`").alias("distinct_of")] if key.max_distinct else []
+        extra += [F.col(f"`{c}`").cast("string").alias(f"any{i}") for i, c in enumerate(key.require_any)]
         rows = records.where(own).select(F.col(id_col).cast("string").alias("record_id"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(key.columns, names, strict=True)], *extra)
         agg = [F.count("*").alias("n"), F.min("record_id").alias("head")]
         if key.max_distinct:
@@ -74,11 +76,24 @@ def key_members(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "rec
         on = F.lit(True)
         for n in names:
             on = on & (F.col(f"r.{n}").eqNullSafe(F.col(f"g.{n}")) if key.allow_null else F.col(f"r.{n}") == F.col(f"g.{n}"))
-        part = rows.alias("r").join(groups.alias("g"), on).select(F.lit(key.id).alias("key_id"), F.col("g.head").alias("head"), F.col("r.record_id").alias("record_id"), F.col("g.guard").alias("guard"))
+        joined = rows.alias("r").join(groups.alias("g"), on)
+        part = joined.select(F.lit(key.id).alias("key_id"), F.col("g.head").alias("head"), F.col("r.record_id").alias("record_id"), F.col("g.guard").alias("guard"))
+        if key.require_any:
+            part = part.where("guard IS NOT NULL").unionByName(_corroborated(joined.where(F.col("g.guard").isNull()), key))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _corroborated(joined: DataFrame, key: MatchKey) -> DataFrame:
+    """The parts of passing groups that share a value in a corroborating column; a record that shares none leaves."""
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"r.any{i}").alias("v")) for i in range(len(key.require_any))]))
+    long = joined.select(F.col("g.head").alias("head"), F.col("r.record_id").alias("record_id"), values.alias("x")).where("x.v IS NOT NULL AND trim(x.v) <> ''")
+    per = long.groupBy("head", "x").agg(F.min("record_id").alias("first"))
+    # one star per shared value: a record stands in one group of a key, so records alone name the nodes
+    cc = connected_components(long.join(per, ["head", "x"]).where("record_id <> first"), "first", "record_id")
+    return cc.select(F.lit(key.id).alias("key_id"), F.col("component").alias("head"), F.col("node").alias("record_id"), F.lit(None).cast("string").alias("guard"))
+
+
 def exact_groups(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "record_id") -> DataFrame:
     """(record_id, group_id, status, key_ids, guard): merged groups `X-<least id>` over all keys, held ones `H-<key>-<least id>`."""
     members = key_members(records, keys, id_col).persist()

@@ -288,6 +288,178 @@ def links(fps: DataFrame, radius: int, lanes: int, group: int = GROUP) -> DataFr
     return found.distinct()
 
 
+# ---------------------------------------------------------------- verified near copies
+
+SHINGLE, SIMILAR = 5, 0.8  # words; Jaccard similarity of the sets of shingles from which on two texts are near copies
+BANDS, ROWS = 24, 5  # two texts meet if a band's minima are equal: at 0.8 all bands miss with (1 - 0.8 ** 5) ** 24, or 7 in 100,000
+SURE = 66  # equal minima of 120 below which a pair is not verified: at a similarity of 0.8 one is expected in 10^9 or so
+CELL = 2048  # texts that meet in one task at once
+
+MIXERS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "big"), 11) for i in range(2 * BANDS * ROWS)], dtype=np.uint64).reshape(2, -1)
+MIXERS[0] |= np.uint64(1)
+
+
+def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; a text under k words is one shingle, a wordless one has none."""
+    found = [np.unique(h.astype(np.uint64)) for h in shingle_hashes(text, k)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of a set under each of BANDS * ROWS mixings."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    step = 4096  # a text of any length needs bounded memory
+    for i in range(0, len(hashes), step):
+        mixed = (hashes[i : i + step, None] ^ MIXERS[1]) * MIXERS[0]
+        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return low
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, own, node, bands): the text's hash, a digest of its set of shingles and the keys of its bands."""
+    rows = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("own"), "text")
+
+    def run(batches):
+        for b in batches:
+            nodes, keys = [], []
+            for t in b.column(2).to_pylist():
+                own = shingle_set((t or "").encode())
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+                low = minima(own).reshape(BANDS, ROWS) if len(own) else []
+                keys.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "own", "node", "bands"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own long, node binary, bands array<long>")
+
+
+def alike(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of least or more; each of its edges is verified."""
+    n = len(sets)
+    low = np.array([minima(s) for s in sets]).astype(np.uint16)
+    size = np.array([len(s) for s in sets])
+    root = np.arange(n)  # of a component its first member
+    out = []
+    for i in range(n - 1):
+        later = np.arange(i + 1, n)
+        later = later[root[later] != root[i]]
+        later = later[np.minimum(size[later], size[i]) >= least * np.maximum(size[later], size[i])]
+        later = later[(low[later] == low[i]).sum(axis=1) >= SURE]
+        for j in later.tolist():
+            if root[j] != root[i] and jaccard(sets[i], sets[j]) >= least:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def _verified(cells: DataFrame) -> DataFrame:
+    """(a, b) from (cell, node, text) that come in order of cells."""
+
+    def run(batches):
+        held, nodes = None, {}
+
+        def close():
+            names = list(nodes)
+            edges = alike(list(nodes.values())) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[e[s]] for e in edges], pa.binary()) for s in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for cell, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cell != held:
+                    yield close()
+                    held, nodes = cell, {}
+                if node not in nodes:
+                    nodes[node] = shingle_set(text.encode())
+        yield close()
+
+    return cells.mapInArrow(run, "a binary, b binary")
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """(key, head, node) from (key, node) in order of keys: every node but the first of its key, and that first one."""
+
+    def run(batches):
+        held, head = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, nodes = b.column(0).to_numpy(), b.column(1)
+            starts = np.concatenate([[True], keys[1:] != keys[:-1]])
+            goes_on = keys[0] == held
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))
+            later = np.flatnonzero(~starts)
+            heads = nodes.take(pa.array(first[later])).to_pylist()
+            if goes_on:
+                lead = int((first == 0).sum())  # rows of the key that the last batch ended with
+                later = np.concatenate([[0], later])
+                heads = [head] * lead + heads[lead - 1 :]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(later)), pa.array(heads, pa.binary()), nodes.take(pa.array(later))], names=["key", "head", "node"])
+            if not (goes_on and first[-1] == 0):
+                head = nodes[int(first[-1])].as_py()
+            held = keys[-1]
+
+    return entries.mapInArrow(run, "key long, head binary, node binary")
+
+
+def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> DataFrame:
+    """(a, b): nodes with a similarity of SIMILAR or more; they connect what the pairs that share a band connect.
+
+    Texts that bands connect, directly or by others, meet once in a cell, where
+    all pairs are looked at. What is over `cell` texts meets by single bands,
+    and a band that is over it by pairs of parts, so every two of its texts
+    still meet somewhere.
+    """
+    spark = docs.sparkSession
+    classes = save(sets.groupBy("node").agg(F.first(F.struct("id", "own", "bands")).alias("r")).select("node", "r.*"), "simhash-sets")
+    entries = classes.select(F.explode("bands").alias("key"), "node").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    met = save(_met(entries), "simhash-met")
+    parts = save(connected_components(met.select("head", "node").distinct(), "head", "node"), "simhash-parts")
+    sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component")
+    cells = sized.where(F.col("size") <= cell).select("node", F.concat_ws("-", F.hex("component")).alias("cell"))
+    large = sized.where(F.col("size") > cell)
+    if not large.isEmpty():
+        rows = met.select("key", "node").unionByName(met.select("key", F.col("head").alias("node")).distinct())
+        blocks = F.ceil(F.col("n") / cell).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks)
+        counted = met.groupBy("key").agg((F.count("*") + 1).alias("n"))
+        each = rows.join(large.select("node"), "node").join(counted, "key").select("node", "key", blocks.alias("m"), own.alias("own"))
+        pairs = each.select("node", "key", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("with"))
+        cells = cells.unionByName(pairs.select("node", F.concat_ws("-", "key", F.least("own", "with"), F.greatest("own", "with")).alias("cell")))
+    chosen = save(cells.join(classes.select("node", F.col("id").alias("kid"), F.col("own").alias("kown")), "node"), "simhash-cells")
+    few = F.broadcast(chosen) if chosen.count() <= FEW else chosen
+    texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").withColumn("own", F.xxhash64("text"))
+    laid = texts.join(few, F.col("id").eqNullSafe(F.col("kid")) & (F.col("own") == F.col("kown"))).select("cell", "node", "text")
+    return save(_verified(laid.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell")), "simhash-verified")
+
+
+FEW = 200_000  # rows of some 80 bytes that may be sent to every executor
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """(id, component): every row's smallest id among the texts that verified links reach.
+
+    Two texts are linked if the sets of their five-word shingles have a Jaccard
+    similarity of 0.8 or more; equal sets always are. Null, empty and wordless
+    texts are all alike. Null ids take the component of their text, null if no
+    row of it has an id. An empty table gives an empty table.
+
+    The index of deletion variants can't serve here: 0.8 may be a tenth of the
+    distinct words, some 20 of 128 bits, which leaves segments of 12 bits. So
+    candidates come from bands of minima over the shingles themselves.
+    """
+    sets = save(with_sets(docs, id_col, text_col), "simhash-near")
+    cc = connected_components(verified_links(docs, sets, id_col, text_col, cell), "a", "b")
+    classes = sets.groupBy("node").agg(F.min("id").alias("least"))
+    named = classes.join(cc, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    best = named.groupBy("class").agg(F.min("least").alias("component"))
+    by_node = named.select("node", "class").join(best, "class").select("node", "component")
+    return sets.select("id", "node").join(by_node, "node").select("id", "component")
+
+
 # ---------------------------------------------------------------- operators
 
 def near_duplicate_classes(
@@ -314,17 +486,16 @@ def near_duplicate_classes(
     return rows.join(by_fp, "fp", "left").select("id", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lanes: int = 2, radius: int = 9, group: int = GROUP) -> DataFrame:
-    """The rows of docs with one row of each near-duplicate class, the one of the smallest id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """The rows of docs with one row of each class of near copies, the one of the smallest id.
 
-    128 bits over distinct words: 9 bits between two fingerprints stand for
-    about 2.3 % edited words, which is a similarity of 0.8 on five-word
-    shingles. Empty, null and wordless texts are all alike, so one of them
-    stays. Of rows that repeat an id one stays. Rows with a null id cannot be
-    named as copies and always stay. All columns come back unchanged, whatever
-    their names.
+    Near copies have a Jaccard similarity of 0.8 or more between their sets of
+    five-word shingles, verified for every link. Empty, null and wordless texts
+    are all alike, so one of them stays. Of rows that repeat an id one stays.
+    Rows with a null id cannot be named as copies and always stay. All columns
+    come back unchanged, whatever their names.
     """
-    classes = save(near_duplicate_classes(docs, id_col, text_col, lanes=lanes, radius=radius, group=group), "simhash-classes")
+    classes = save(near_copy_classes(docs, id_col, text_col, cell), "simhash-classes")
     key = F.col(f"`{id_col}`")
     kid = fresh(docs, "kept_id")
     keep = classes.where("id IS NOT NULL AND id = component").select(F.col("id").alias(kid)).distinct()

@@ -118,3 +118,57 @@ def test_empty_table_and_long_text(spark):
     got = simhash.near_duplicate_classes(df).collect()
     assert {r["component"] for r in got} == {1}
     assert int.from_bytes(got[0]["fp"], "big") == brute_fp(big)
+
+
+def plain_jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_told_by_shingles_in_order(spark):
+    rng = random.Random(8)
+    w = [f"w{i}" for i in range(200)]
+    shuffled = rng.sample(w, len(w))
+    short_of = w[:30] + ["x1"] + w[31:80] + ["x2"] + w[81:130] + ["x3"] + w[131:170] + ["x4", "x5"] + w[172:190] + ["x6"] + w[191:]
+    tail_cut = w[:165]  # alike at 0.82, with a sixth of the words missing
+    rows = [(i, " ".join(x)) for i, x in enumerate([w, shuffled, short_of, tail_cut])]
+    assert plain_jaccard(rows[0][1], rows[2][1]) < 0.8 <= plain_jaccard(rows[0][1], rows[3][1])
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("cell", [2048, 4])
+def test_near_copy_classes_match_brute_force_jaccard(spark, cell):
+    rng = random.Random(9)
+    out = texts(90, seed=9)
+    for t in out[:30]:
+        w = t.split()
+        out.append(" ".join(w[: round(len(w) * rng.uniform(0.75, 0.95))]))
+    rows = list(enumerate(out))
+    root = list(range(len(out)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(out)):
+        for j in range(i):
+            if plain_jaccard(out[i], out[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = simhash.near_copy_classes(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == [(i, find(i)) for i in range(len(out))]
+
+
+def test_rows_of_a_key_meet_across_batches(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(40), bytes([i // 250, i % 250])) for i in range(1500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = simhash._met(spark.createDataFrame(rows, "key long, node binary").repartition(3, "key").sortWithinPartitions("key")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    heads = {(r.key, bytes(r.head)) for r in got}
+    assert len(heads) == len({k for k, _ in rows})
+    assert sorted([(r.key, bytes(r.node)) for r in got] + list(heads)) == sorted(rows)

@@ -22,6 +22,8 @@ INNER_CUTS = 256  # one in so many other characters, for texts without white spa
 LONGEST = 2048  # bytes of a chunk at most
 BLOCK = 4 << 20  # bytes of text that are cut and compared at once in a task
 MIN_WORDS = 12  # repeated chunks in a row make up a passage from so many words on
+LONG_WORD = 24  # characters from which on what stands between white space counts as several words
+WORD_CHARS = 6  # characters of each of them
 
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
 SPACE = np.zeros(256, dtype=bool)
@@ -138,6 +140,18 @@ def _sliced(batch: pa.RecordBatch, rows: int = 50_000):
         yield batch.slice(lo, rows)
 
 
+def n_words(text: bytes) -> int:
+    """Words between white space; what has LONG_WORD characters or more, as in scripts without white space, counts one word for each WORD_CHARS."""
+    words = text.split()
+    count = len(words)
+    for w in words:
+        if len(w) >= LONG_WORD:
+            chars = sum(b & 0xC0 != 0x80 for b in w)
+            if chars >= LONG_WORD:
+                count += chars // WORD_CHARS - 1
+    return count
+
+
 def passages(text: bytes, places: list[int], min_words: int) -> list[tuple[int, int]]:
     """Runs of touching chunks with at least min_words words, as byte spans."""
     runs: list[list[int]] = []
@@ -147,7 +161,7 @@ def passages(text: bytes, places: list[int], min_words: int) -> list[tuple[int,
             runs[-1][1] = start + size
         else:
             runs.append([start, start + size])
-    return [(a, b) for a, b in runs if len(text[a:b].split()) >= min_words]
+    return [(a, b) for a, b in runs if n_words(text[a:b]) >= min_words]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -112,3 +112,17 @@ def test_shift_resistance():
     a, b = (set(np.diff(S.cuts([x])[0]).tolist()) and S.cuts([x])[0] for x in (t, b"new words " + t))
     tail = {len(t) - x for x in a.tolist()} & {len(t) + 10 - x for x in b.tolist()}
     assert len(tail) >= len(a) - 3
+
+
+def test_passages_without_white_space_are_cut(spark):
+    rng = random.Random(21)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    code = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(4000))
+    shared = han(1500)
+    rows = [(1, han(700) + shared + han(300)), (2, han(200) + shared + han(900)), (3, code), (4, code), (5, han(40))]
+    got = {r.doc_id: r for r in S.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].text == t for i, t in rows] == [True, False, True, False, True]
+    assert got[4].text == "" and got[4].spans[0] == (0, 4000)
+    cut = sum(e - s for s, e in got[2].spans)
+    assert 0.5 * len(shared) < cut <= len(shared) and len(got[2].text) == len(rows[1][1]) - cut
+    assert {(i, r.text) for i, r in got.items()} == {(i, t) for (i, _), t in brute(rows).items()}

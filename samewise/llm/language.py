@@ -16,7 +16,7 @@ from samewise.llm.columns import bound_batches, documents, pick
 LEVEL = 3
 DICT_BYTES = 128 << 10  # text of a language that its dictionary holds, at most
 SAMPLE_DOCS = 200  # labelled texts of a language that are looked at for it, about
-SAMPLE_BYTES = 16 << 10  # longer texts are left out of a dictionary, for variety
+SAMPLE_BYTES = 16 << 10  # of a longer text a slice of at most so many bytes goes into a dictionary, for variety
 LANGUAGES = 1000  # at most
 NARROW = 0.02  # of the winner's size: closer seconds make a prediction doubtful
 SHARP = 0.5  # bits of confidence a byte saved
@@ -26,7 +26,8 @@ LETTER = re.compile(r"[^\W\d_]")
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample of labelled texts, chosen by a hash of id and text.
 
-    Null texts and languages are left out; so are languages beyond LANGUAGES,
+    Of texts over SAMPLE_BYTES a slice is taken, at a place chosen by the same
+    hash. Null texts and languages are left out; so are languages beyond LANGUAGES,
     the rarest, of which a table hardly has that many.
     """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").withColumn("size", F.octet_length("text"))
@@ -35,7 +36,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
     h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
-    chosen = rows.withColumn("h", h).where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 40)).where(F.col("size") <= SAMPLE_BYTES).select("lang", "h", "text")
+    width = SAMPLE_BYTES // 4  # characters of up to four bytes
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
+    part = F.when(F.col("size") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", at, F.lit(width)))
+    chosen = rows.withColumn("h", h).where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 40)).select("lang", "h", part.alias("text"))
     by: dict[str, list] = {}
     for r in chosen.toArrow().to_pylist():
         by.setdefault(r["lang"], []).append((r["h"], r["text"]))

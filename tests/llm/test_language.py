@@ -49,3 +49,14 @@ def test_narrow_margins_are_rejected():
     same = b"common words here xyzxyz" * 20
     c = L._compressors((("a", same), ("b", same)))
     assert L.classify("common words here", c)[0] == "a" and L.classify("common words here", c)[2] is False
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(5000 if lang == "fr" else 60)), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t.encode()) for _, t, lang in rows if lang == "fr") > L.SAMPLE_BYTES
+    dicts = L.learn(df)
+    assert sorted(dicts) == sorted(WORDS) and all(len(d) <= L.DICT_BYTES for d in dicts.values())
+    got = {r.id: r.lang_pred for r in L.identify(df, dicts).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)

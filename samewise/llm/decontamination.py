@@ -17,7 +17,7 @@ from samewise.llm.columns import documents, fresh, pick
 from samewise.plans.materialize import save
 
 SHINGLE = 5  # words
-RADIUS = 15  # of 64 bits; a similarity of 0.8 is a distance of about 10
+RADIUS = 22  # of 64 bits; a similarity of 0.8 is a distance of about 10, and may be up to 20
 SIMILARITY = 0.8
 SMALL_ROWS = 500_000  # rows of two longs that may be sent to every executor
 LISTED = 50_000  # hashes of items' shingles that may stand in a plan as a set

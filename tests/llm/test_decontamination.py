@@ -112,3 +112,20 @@ def test_sql_gives_the_same(spark, tmp_path):
     want = {(r[0], r[1]): r[4] for r in c.sql(D.OP6_SQL).fetchall()}
     got = {(r.doc_id, r.item_id): r.similarity for r in D.op6_decontamination(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_alike_windows_far_apart_in_bits_are_found(spark):
+    rng = random.Random(31)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    docs, items, bits = [], [], []
+    while len(items) < 6:
+        x = say(60)
+        w = x[:53] + say(7)
+        d = bin(fp(sh(x)) ^ fp(sh(w))).count("1")
+        if sim(sh(x), sh(w)) >= 0.8 and d > 15:
+            docs.append((len(docs), " ".join(say(20) + w + say(20))))
+            items.append((len(items), " ".join(x)))
+            bits.append(d)
+    assert max(bits) <= D.RADIUS
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id, r.item_id) for r in got) == [(i, i) for i in range(6)]

@@ -15,6 +15,9 @@ END = 1  # the id after every document
 SPECIAL = "<|endoftext|>"
 #: Letters, digits and spaces that all Unicode versions and regex engines class alike.
 ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
+LONG_RUN = 8192
+#: The ranked encoder steps back over white space with a stack frame a character, so long runs go to the library.
+RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def vocabulary(name: str) -> str:
@@ -46,8 +49,8 @@ class ByteEncoder:
     """The ids of byte_bpe_50k.json; END after each text.
 
     Plain texts go through the same vocabulary as ranks, which is five times
-    as fast and gives the same ids; texts with special strings or characters
-    beyond Latin go to the library itself.
+    as fast and gives the same ids; texts with special strings, characters
+    beyond Latin or very long white space go to the library itself.
     """
 
     def __init__(self, json_path: str, ranks_path: str):
@@ -55,7 +58,7 @@ class ByteEncoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         t = text or ""
-        if SPECIAL not in t and (t.isascii() and t.isprintable() or not ODD.search(t)):
+        if SPECIAL not in t and (t.isascii() and t.isprintable() or not ODD.search(t)) and (len(t) < LONG_RUN or not RUN.search(t)):
             ids = _ranked(self.ranks_path).encode_ordinary(t)
         else:
             ids = library(self.json_path).encode(t, add_special_tokens=False).ids

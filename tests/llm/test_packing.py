@@ -23,6 +23,17 @@ def test_encoder_equals_the_library():
         assert enc(t).tolist() == ids_of(t), repr(t)
 
 
+def test_very_long_white_space(spark):
+    enc = byte_encoder()
+    texts = ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, " \n\t" * 700_000, "a" * 1_000_000]
+    want = [ids_of(t) for t in texts]
+    assert [enc(t).tolist() for t in texts] == want
+    got = defaultdict(list)
+    for r in P.pack(spark.createDataFrame([(i, t, "a", None) for i, t in enumerate(texts)], SCHEMA)).collect():
+        got[r.id].append((r.start, np.frombuffer(r["ids"], dtype="<u2").tolist()))
+    assert [[i for _, some in sorted(got[k]) for i in some] for k in range(len(texts))] == want
+
+
 def corpus():
     rng = random.Random(2)
     rows = []

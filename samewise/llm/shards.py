@@ -5,28 +5,32 @@ into sequences of `length` ids. A Feistel network over the least even number
 of bits, walked along its cycle until it lands below N, permutes 0..N-1 without
 a table. Slots are dealt in ranges to shards of a fixed stride, so slot s lies
 at byte (s % shard_sequences) * stride of shard s // shard_sequences: a reader
-goes on from any slot by arithmetic alone.
+goes on from any slot by arithmetic alone. A manifest beside the shards names
+N, the key, the stride and the number of shards, so a reader knows what it
+goes on with and sees what is missing.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, pick
 from samewise.llm.tokens import END, ByteEncoder, byte_encoder, squeeze, unsqueeze
-from samewise.plans.materialize import save, shared_path
+from samewise.plans.materialize import save, shared_path, shuffle_partitions
 
 LENGTH = 2048
 SHARD_SEQUENCES = 2048
 KEY = 0x5EED
 ROUNDS = 6
+TASK_BYTES = 1 << 28  # of shards that a task writes, one after the other, unless there are too few tasks then
+MANIFEST = "manifest.json"
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -56,11 +60,9 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS, inv
     return out.astype(np.int64)
 
 
-def _local(path: str) -> str:
-    u = urlparse(path)
-    if u.scheme not in ("", "file"):
-        raise ValueError(f"shards are plain files: {path} is no mounted folder")
-    return u.path
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder (a local path, file://, hdfs://, s3://, gs://) and the path in it."""
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
 def _joined(pieces: list) -> list:
@@ -95,15 +97,16 @@ def _runs(encoder):
 def write_shards(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, encoder: ByteEncoder | None = None
 ) -> DataFrame:
-    """Write shard-NNNNNN.bin files to a folder that all executors share; (slot, sequence_id, shard, byte_offset, n_tokens, doc_ids, ids_crc32).
+    """Write shard-NNNNNN.bin files to a folder that all executors share (mounted, or hdfs://, s3:// and the like); (slot, sequence_id, shard, byte_offset, n_tokens, doc_ids, ids_crc32).
 
     One row for each sequence; n_tokens leaves out the padding of the last
     (id END). doc_ids: the documents in it, in order, null ids too. Ids are
     little-endian unsigned 16-bit, each document ends with END, null texts are
     empty. A shard is written beside its place and moved there whole, so a
-    task that is tried again, or a second copy of it, does no harm. An empty
-    table writes nothing. The result is lazy: the files are written as it is
-    computed.
+    task that is tried again, or a second copy of it, does no harm; what a lost
+    task left is a .shard- file that no reader looks at. An empty table writes
+    the manifest alone. The result is lazy: the shards are written as it is
+    computed, the manifest at once.
     """
     rows = pick(docs, id=id_col, text=text_col)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -113,8 +116,11 @@ def write_shards(
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     n_sequences = -(-total // length)
     n_shards = max(1, -(-n_sequences // shard_sequences))
+    n_tasks = min(n_shards, max(shuffle_partitions(docs.sparkSession), -(-n_sequences * length * 2 // TASK_BYTES)))
+    write_manifest(folder, {"sequences": n_sequences, "length": length, "shard_sequences": shard_sequences, "shards": -(-n_sequences // shard_sequences), "key": key, "rounds": ROUNDS, "tokens": total, "dtype": "<u2"})
     # the stream: the parts in order (a row for each task), the rows of a part in order
     bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+
     def cut(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -133,13 +139,14 @@ def write_shards(
     # a row for each task of the one before, so it goes to all
     placed = tokens.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inside")).alias("at"), "docs", "lengths", "ids")
     pieces = placed.mapInArrow(cut, f"shard int, slot long, sequence_id long, off long, docs array<{id_type}>, raw binary")
-    dealt = pieces.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "slot", "off")
-    to = _local(folder)
+    # a task writes a run of shards
+    dealt = pieces.repartitionById(n_tasks, F.floor(F.col("shard").cast("long") * n_tasks / n_shards).cast("int")).sortWithinPartitions("shard", "slot", "off")
 
     def write(batches):
         from pyspark import TaskContext
 
-        os.makedirs(to, exist_ok=True)
+        store, to = _store(folder)
+        store.create_dir(to, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         f = shard = now = None
         held: list = []
@@ -156,7 +163,7 @@ def write_shards(
 
         def close_shard():
             f.close()
-            os.replace(f"{to}/.shard-{shard:06d}.{attempt}", f"{to}/shard-{shard:06d}.bin")
+            store.move(f"{to}/.shard-{shard:06d}.{attempt}", f"{to}/shard-{shard:06d}.bin")
 
         def flush(kind):
             cols = list(zip(*done, strict=True)) or [()] * 7
@@ -175,7 +182,7 @@ def write_shards(
                     if f:
                         close_shard()
                     shard = r[0]
-                    f = open(f"{to}/.shard-{shard:06d}.{attempt}", "wb")  # noqa: SIM115
+                    f = store.open_output_stream(f"{to}/.shard-{shard:06d}.{attempt}")
                 held.append(r)
             yield flush(kind)
         if held:
@@ -187,16 +194,39 @@ def write_shards(
     return dealt.mapInArrow(write, f"slot long, sequence_id long, shard int, byte_offset long, n_tokens long, doc_ids array<{id_type}>, ids_crc32 long")
 
 
-def read_slots(folder: str, start: int = 0, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES):
-    """Sequences from a slot on, in training order: sequential reads, resumed anywhere."""
-    to, stride = _local(folder), 2 * length
-    shard, first = divmod(start, shard_sequences)
-    while os.path.exists(name := f"{to}/shard-{shard:06d}.bin"):
-        with open(name, "rb") as f:
+def write_manifest(folder: str, facts: dict) -> None:
+    store, to = _store(folder)
+    store.create_dir(to, recursive=True)
+    with store.open_output_stream(f"{to}/{MANIFEST}") as f:
+        f.write(json.dumps(facts, sort_keys=True).encode())
+
+
+def read_manifest(folder: str) -> dict:
+    store, to = _store(folder)
+    with store.open_input_stream(f"{to}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def read_slots(folder: str, start: int = 0, length: int | None = None, shard_sequences: int | None = None):
+    """Sequences from a slot on, in training order: sequential reads, resumed anywhere.
+
+    The manifest says how many there are. A shard that is missing or too short
+    raises, as does a length or shard_sequences that the shards don't have.
+    """
+    facts, (store, to) = read_manifest(folder), _store(folder)
+    for name, said in (("length", length), ("shard_sequences", shard_sequences)):
+        if said not in (None, facts[name]):
+            raise ValueError(f"{folder} has {name} {facts[name]}, not {said}")
+    stride, per = 2 * facts["length"], facts["shard_sequences"]
+    for shard in range(start // per, facts["shards"]):
+        first = start % per if shard == start // per else 0
+        held = min(per, facts["sequences"] - shard * per)
+        with store.open_input_file(f"{to}/shard-{shard:06d}.bin") as f:
+            if f.size() != held * stride:
+                raise ValueError(f"shard {shard} of {folder} has {f.size()} bytes, not {held * stride}")
             f.seek(first * stride)
-            while raw := f.read(stride):
-                yield np.frombuffer(raw, dtype="<u2")
-        shard, first = shard + 1, 0
+            for _ in range(first, held):
+                yield np.frombuffer(f.read(stride), dtype=facts["dtype"])
 
 
 def op3_token_shards(spark, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, fresh, pick
+from samewise.llm.meeting import forests, spanning_links
 from samewise.operators.graph import connected_components
-from samewise.plans.materialize import save, shuffle_partitions
+from samewise.plans.materialize import discard, save, shuffle_partitions
 
 BLOCK = 1 << 17  # hashes summed at once, so a text of any length needs bounded memory
 GROUP = 1024  # rows of one index entry compared in memory; larger entries are indexed again by the other bits
+OPEN = 10  # bits that an entry of the last level leaves open at most, so it has 2 ** OPEN distinct fingerprints at most
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -210,7 +212,7 @@ def _compare(index: DataFrame, radius: int, level: int, lanes: int, group: int,
 
     Groups up to `group` rows give edges (null, a, b). The rows of larger ones
     come back as (key, fp, null) to be indexed one level further down, except
-    at the last level, where the few open bits bound a group.
+    at the last level, where OPEN bits bound a group.
     """
     each = 2 + key_width(64 * lanes)
     width, wide = 8 * lanes, each * level
@@ -269,17 +271,27 @@ def _compare(index: DataFrame, radius: int, level: int, lanes: int, group: int,
     return index.mapInArrow(run, "key binary, a binary, b binary")
 
 
-LEVELS = 3
+def depth(width: int, radius: int) -> int:
+    """Levels after which no entry leaves more than OPEN bits open; entries without a wiped bit leave the most."""
+    level = 1
+    while len(remaining(width, radius, ((0, -1),) * level)[0]) > OPEN:
+        level += 1
+    return level
 
 
 def links(fps: DataFrame, radius: int, lanes: int, group: int = GROUP) -> DataFrame:
-    """(a, b): edges that connect just what the pairs of distinct fingerprints within radius connect."""
+    """(a, b): edges that connect just what the pairs of distinct fingerprints within radius connect.
+
+    Levels go on as long as an entry has over `group` rows, at the most until
+    the bits that are still open bound it.
+    """
+    last = depth(64 * lanes, radius)
     spark = fps.sparkSession
     rows = fps.select(F.lit(b"").alias("key"), "fp").distinct()
     found = None
-    for level in range(1, LEVELS + 1):
+    for level in range(1, last + 1):
         index = _index(rows, radius, level - 1, lanes).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-        out = save(_compare(index, radius, level, lanes, group, level == LEVELS), "simhash-links")
+        out = save(_compare(index, radius, level, lanes, group, level == last), "simhash-links")
         edges = out.where("b IS NOT NULL").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         rows = out.where("b IS NULL").select("key", F.col("a").alias("fp"))
@@ -356,87 +368,23 @@ def alike(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int
     return out
 
 
-def _verified(cells: DataFrame) -> DataFrame:
-    """(a, b) from (cell, node, text) that come in order of cells."""
-
-    def run(batches):
-        held, nodes = None, {}
-
-        def close():
-            names = list(nodes)
-            edges = alike(list(nodes.values())) if len(names) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([names[e[s]] for e in edges], pa.binary()) for s in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            for cell, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if cell != held:
-                    yield close()
-                    held, nodes = cell, {}
-                if node not in nodes:
-                    nodes[node] = shingle_set(text.encode())
-        yield close()
-
-    return cells.mapInArrow(run, "a binary, b binary")
-
-
-def _met(entries: DataFrame) -> DataFrame:
-    """(key, head, node) from (key, node) in order of keys: every node but the first of its key, and that first one."""
-
-    def run(batches):
-        held, head = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, nodes = b.column(0).to_numpy(), b.column(1)
-            starts = np.concatenate([[True], keys[1:] != keys[:-1]])
-            goes_on = keys[0] == held
-            first = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))
-            later = np.flatnonzero(~starts)
-            heads = nodes.take(pa.array(first[later])).to_pylist()
-            if goes_on:
-                lead = int((first == 0).sum())  # rows of the key that the last batch ended with
-                later = np.concatenate([[0], later])
-                heads = [head] * lead + heads[lead - 1 :]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(later)), pa.array(heads, pa.binary()), nodes.take(pa.array(later))], names=["key", "head", "node"])
-            if not (goes_on and first[-1] == 0):
-                head = nodes[int(first[-1])].as_py()
-            held = keys[-1]
-
-    return entries.mapInArrow(run, "key long, head binary, node binary")
-
-
 def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> DataFrame:
-    """(a, b): nodes with a similarity of SIMILAR or more; they connect what the pairs that share a band connect.
-
-    Texts that bands connect, directly or by others, meet once in a cell, where
-    all pairs are looked at. What is over `cell` texts meets by single bands,
-    and a band that is over it by pairs of parts, so every two of its texts
-    still meet somewhere.
-    """
+    """(a, b): nodes with a similarity of SIMILAR or more; they connect what the pairs that share a band connect."""
     spark = docs.sparkSession
-    classes = save(sets.groupBy("node").agg(F.first(F.struct("id", "own", "bands")).alias("r")).select("node", "r.*"), "simhash-sets")
-    entries = classes.select(F.explode("bands").alias("key"), "node").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    met = save(_met(entries), "simhash-met")
-    parts = save(connected_components(met.select("head", "node").distinct(), "head", "node"), "simhash-parts")
-    sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component")
-    cells = sized.where(F.col("size") <= cell).select("node", F.concat_ws("-", F.hex("component")).alias("cell"))
-    large = sized.where(F.col("size") > cell)
-    if not large.isEmpty():
-        rows = met.select("key", "node").unionByName(met.select("key", F.col("head").alias("node")).distinct())
-        blocks = F.ceil(F.col("n") / cell).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks)
-        counted = met.groupBy("key").agg((F.count("*") + 1).alias("n"))
-        each = rows.join(large.select("node"), "node").join(counted, "key").select("node", "key", blocks.alias("m"), own.alias("own"))
-        pairs = each.select("node", "key", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("with"))
-        cells = cells.unionByName(pairs.select("node", F.concat_ws("-", "key", F.least("own", "with"), F.greatest("own", "with")).alias("cell")))
-    chosen = save(cells.join(classes.select("node", F.col("id").alias("kid"), F.col("own").alias("kown")), "node"), "simhash-cells")
-    few = F.broadcast(chosen) if chosen.count() <= FEW else chosen
-    texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").withColumn("own", F.xxhash64("text"))
-    laid = texts.join(few, F.col("id").eqNullSafe(F.col("kid")) & (F.col("own") == F.col("kown"))).select("cell", "node", "text")
-    return save(_verified(laid.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell")), "simhash-verified")
-
-
-FEW = 200_000  # rows of some 80 bytes that may be sent to every executor
+    one = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "own", "bands"))
+    classes = save(sets.groupBy("node").agg(one.alias("r")).select("node", "r.*"), "simhash-sets")
+    entries = classes.select(F.explode("bands").alias("key"), "node")
+    places = classes.select("node", F.col("id").alias("kid"), F.col("own").alias("kown"))
+
+    def compare(cells: DataFrame) -> DataFrame:
+        texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").withColumn("own", F.xxhash64("text"))
+        laid = texts.join(cells.join(places, "node"), F.col("id").eqNullSafe(F.col("kid")) & (F.col("own") == F.col("kown"))).select("cell", "node", "text")
+        dealt = laid.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell")
+        return save(forests(dealt, lambda t: shingle_set(t.encode()), alike), "simhash-verified")
+
+    found = spanning_links(entries, compare, cell)
+    discard(classes)
+    return found
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
@@ -491,8 +439,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Near copies have a Jaccard similarity of 0.8 or more between their sets of
     five-word shingles, verified for every link. Empty, null and wordless texts
-    are all alike, so one of them stays. Of rows that repeat an id one stays.
-    Rows with a null id cannot be named as copies and always stay. All columns
+    are all alike, so one of them stays. Of rows that repeat an id the one
+    whose columns have the smallest hash stays. Rows with a null id cannot be named as copies and always stay. All columns
     come back unchanged, whatever their names.
     """
     classes = save(near_copy_classes(docs, id_col, text_col, cell), "simhash-classes")
@@ -501,7 +449,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = classes.where("id IS NOT NULL AND id = component").select(F.col("id").alias(kid)).distinct()
     out = docs.where(key.isNotNull()).join(keep, key == F.col(kid), "left_semi")
     if not classes.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
+        # rows of the same hash are equal, so it doesn't matter which of them stays
+        h, least_id, least = (fresh(docs, c) for c in ("row_hash", "least_id", "least_hash"))
+        out = out.withColumn(h, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+        first = out.groupBy(key.alias(least_id)).agg(F.min(h).alias(least))
+        out = out.join(first, (key == F.col(least_id)) & (F.col(h) == F.col(least)), "left_semi").drop(h).dropDuplicates([id_col])
     return out.unionByName(docs.where(key.isNull()))
 
 

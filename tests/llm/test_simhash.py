@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from samewise.llm import simhash
+from samewise.llm import meeting, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,6 +99,35 @@ def test_two_lane_radius(spark):
     assert got == want
 
 
+def test_large_two_lane_entries_are_split_until_few_bits_are_open(spark):
+    rng = random.Random(6)
+    base, fps = rng.getrandbits(128), set()
+    while len(fps) < 150:  # near copies of one fingerprint
+        x = base
+        for b in rng.sample(range(128), rng.randint(3, 6)):
+            x ^= 1 << b
+        fps.add(x)
+    df = spark.createDataFrame([(f.to_bytes(16, "big"),) for f in sorted(fps)], "fp binary")
+    assert simhash.depth(64, 3) == 3
+    chain = ((0, -1),) * simhash.depth(128, 9)
+    assert len(simhash.remaining(128, 9, chain)[0]) <= simhash.OPEN
+    from samewise.operators.graph import connected_components
+
+    cc = connected_components(simhash.links(df, 9, 2, 100), "a", "b").collect()
+    assert len(cc) == len(fps) and len({bytes(r.component) for r in cc}) == 1
+
+
+def test_rows_that_repeat_an_id_leave_a_defined_one(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base, n) for n in range(40)] + [(1, base + " more", 7), (2, base, 0)]
+    kept = set()
+    for parts in (1, 3, 7):
+        got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts)).collect()
+        assert [r.doc_id for r in got] == [1]
+        kept.add((got[0].text, got[0].extra))
+    assert len(kept) == 1
+
+
 def test_deduplicate_keeps_smallest_id_and_all_columns(spark):
     base = " ".join(f"word{i}" for i in range(300))
     other = " ".join(f"thing{i}" for i in range(300))
@@ -166,7 +195,7 @@ def test_rows_of_a_key_meet_across_batches(spark):
     rows = [(rng.randrange(40), bytes([i // 250, i % 250])) for i in range(1500)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        got = simhash._met(spark.createDataFrame(rows, "key long, node binary").repartition(3, "key").sortWithinPartitions("key")).collect()
+        got = meeting.met(spark.createDataFrame(rows, "key long, node binary").repartition(3, "key").sortWithinPartitions("key")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     heads = {(r.key, bytes(r.head)) for r in got}

@@ -5,6 +5,8 @@ state emits symbols; a word behind the last symbol has its share of it by its
 smoothed frequency in the training texts. Counts of words are a table that
 grows with the corpus and is joined, never gathered; what every task gets is
 bounded: COUNTED words with their counts, and STATES numbers a symbol.
+Training cuts long texts into segments; each brings some tokens of both
+neighbours along, so the moves over a cut count too.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, pick
 from samewise.llm.language import fold
-from samewise.plans.materialize import save
+from samewise.plans.materialize import save, shuffle_partitions
 
 STATES = 8
 SYMBOLS = 65_535  # frequent words (the end is one); the next number stands for all others
 COUNTED = 400_000  # frequent words whose counts every task knows
-ROUNDS = 5
-SEGMENT = 256  # tokens that a training sequence has at most; scoring runs over whole texts
+ROUNDS = 5  # at most
+GAIN = 1e-4  # of the log likelihood a token, relative: a round that gains less is the last
+SEGMENT = 256  # tokens that a training sequence counts at most; scoring runs over whole texts
+LAP = 16  # tokens before and behind a segment that only tell its states
 END = b"\n"  # no word has white space
 ADD = 0.1
 PRIOR = 20.0  # tokens of the training texts' own distribution that each state is given
@@ -161,15 +164,22 @@ def forward_scores(seqs: list[np.ndarray], first: np.ndarray, trans: np.ndarray,
     return out
 
 
-def expect(seqs: list[np.ndarray], begins: np.ndarray, first: np.ndarray, trans: np.ndarray, emit: np.ndarray, counts) -> None:
-    """Add the expected counts of equally treated sequences; begins tells which start a text."""
+def expect(seqs: list[np.ndarray], begins: np.ndarray, first: np.ndarray, trans: np.ndarray, emit: np.ndarray, counts, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> float:
+    """Add the expected counts of equally treated sequences; returns the natural log likelihood of what is counted.
+
+    begins tells which start a text. Of each sequence the tokens lo to hi - 1
+    count, with the moves to each of them; all of it unless given.
+    """
     firsts, moves, emitted = counts
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))  # longest first: at each step the live ones come first
     begins = np.asarray(begins)[order]
     x, n = _padded([seqs[i] for i in order], 0)
+    lo = np.zeros(len(n), dtype=np.int64) if lo is None else np.asarray(lo)[order]
+    hi = n if hi is None else np.asarray(hi)[order]
     steps, width = x.shape
     states, kind = len(first), emit.dtype
     live = [int(w) for w in (n[None, :] > np.arange(steps)[:, None]).sum(axis=1)]
+    on = (np.arange(steps)[:, None] >= lo[None, :]) & (np.arange(steps)[:, None] < hi[None, :])
     e = emit[x]
     alpha = np.zeros((steps, width, states), dtype=kind)
     scale = np.ones((steps, width), dtype=kind)
@@ -183,77 +193,147 @@ def expect(seqs: list[np.ndarray], begins: np.ndarray, first: np.ndarray, trans:
         w = live[t + 1]
         nxt = e[t + 1, :w] * beta[:w]
         nxt /= scale[t + 1, :w, None]
-        moves += trans * (alpha[t, :w].T @ nxt)
+        counted = on[t + 1, :w]
+        moves += trans * (alpha[t, :w].T @ nxt if counted.all() else alpha[t, :w][counted].T @ nxt[counted])
         beta[:w] = nxt @ back
         alpha[t] *= beta  # from here on the state probabilities
     firsts += alpha[0][begins].sum(axis=0)
-    on = np.arange(steps)[:, None] < n[None, :]
     ids, g = x[on], alpha[on]
     for k in range(states):
         emitted[:, k] += np.bincount(ids, weights=g[:, k], minlength=len(emitted))
+    return float(np.log(scale[on].astype(np.float64)).sum())
+
+
+def segmented(s: np.ndarray, segment: int = SEGMENT, lap: int = LAP):
+    """(tokens, whether they start the text, first and last but one that count) of each segment of a text."""
+    for at in range(0, len(s), segment):
+        lo, to = max(0, at - lap), min(len(s), at + segment)
+        yield s[lo : to + lap], lo == 0, at - lo, to - lo
 
 
-def _expectation(model, size: int):
-    """For mapInArrow over compressed symbols: a partition's expected counts, in chunks of symbols."""
+def _expectation(model, size: int, salts: int):
+    """For mapInArrow over compressed symbols: a partition's expected counts, (chunk, salt, sums), a row for each chunk of symbols that occurs."""
 
     def run(batches):
+        from pyspark import TaskContext
+
         first, trans, emit = (m.astype(np.float32) for m in model.value)
         states = len(first)
         counts = (np.zeros(states), np.zeros((states, states)), np.zeros((size, states)))
+        gained = np.zeros((1, states))  # log likelihood, tokens
         unzip = zstandard.ZstdDecompressor()
-        seqs, begins, held, seen = [], [], 0, False
+        parts, held, seen = [], 0, False
 
         def add():
-            order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-            for lo in range(0, len(order), 1024):
-                some = order[lo : lo + 1024]
-                expect([seqs[i] for i in some], np.array([begins[i] for i in some]), first, trans, emit, counts)
+            parts.sort(key=lambda p: len(p[0]))
+            for at in range(0, len(parts), 1024):
+                seqs, begins, lo, hi = zip(*parts[at : at + 1024], strict=True)
+                gained[0, 0] += expect(list(seqs), np.array(begins), first, trans, emit, counts, np.array(lo), np.array(hi))
+                gained[0, 1] += sum(hi) - sum(lo)
+            parts.clear()
 
         for b in batches:
             for raw in b.column(0).to_pylist():
                 s = np.frombuffer(unzip.decompress(raw), dtype="<u2")
-                for lo in range(0, len(s), SEGMENT):
-                    seqs.append(s[lo : lo + SEGMENT])
-                    begins.append(lo == 0)
+                parts.extend(segmented(s))
                 held += len(s)
                 if held > 1 << 20:
                     add()
-                    seqs, begins, held, seen = [], [], 0, True
-        if seqs:
+                    held, seen = 0, True
+        if parts:
             add()
-        if not (seqs or seen):
+        elif not seen:
             return
-        head = np.vstack([counts[0][None, :], counts[1]])
-        chunks = [(-1, head)] + [(lo // CHUNK, counts[2][lo : lo + CHUNK]) for lo in range(0, size, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([np.ascontiguousarray(v).tobytes() for _, v in chunks], pa.binary())], names=["chunk", "sums"])
+        head = np.vstack([counts[0][None, :], counts[1], gained])
+        chunks = [(-1, head)] + [(at // CHUNK, some) for at in range(0, size, CHUNK) if (some := counts[2][at : at + CHUNK]).any()]
+        salt = TaskContext.get().partitionId() % salts
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([np.ascontiguousarray(v).tobytes() for _, v in chunks], pa.binary())], names=["chunk", "salt", "sums"])
 
     return run
 
 
-def _sum_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.float64) for x in pdf.sums)
-    return pd.DataFrame({"chunk": [pdf.chunk.iloc[0]], "sums": [total.tobytes()]})
+def _added(batches):
+    """For mapInArrow over (chunk, salt, sums) in order of the first two: a row for each of them, added one by one."""
+    held, total = None, None
+    done: list[tuple] = []
 
+    def rows():
+        b = pa.RecordBatch.from_arrays([pa.array([d[0][0] for d in done], pa.int32()), pa.array([d[0][1] for d in done], pa.int32()), pa.array([d[1].tobytes() for d in done], pa.binary())], names=["chunk", "salt", "sums"])
+        done.clear()
+        return b
 
-def train(encoded: DataFrame, start: np.ndarray, states: int = STATES, rounds: int = ROUNDS):
-    """Baum-Welch over all training rows of `encoded`; each round is one pass, its counts summed by chunks of symbols."""
+    for b in batches:
+        for chunk, salt, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            some = np.frombuffer(raw, dtype=np.float64)
+            if (chunk, salt) == held:
+                total += some
+            else:
+                if held is not None:
+                    done.append((held, total))
+                held, total = (chunk, salt), some.copy()
+        if len(done) > 100:
+            yield rows()
+    if held is not None:
+        done.append((held, total))
+    yield rows()
+
+
+SUMS = "chunk int, salt int, sums binary"
+
+
+def _summed(partial: DataFrame, salts: int) -> list:
+    """A row for each chunk: its sums over all tasks, by way of `salts` sums each where tasks are many."""
+    n = shuffle_partitions(partial.sparkSession)
+    for _ in range(2 if salts > 1 else 1):
+        partial = partial.repartition(n, "chunk", "salt").sortWithinPartitions("chunk", "salt").mapInArrow(_added, SUMS).withColumn("salt", F.lit(0))
+    return partial.collect()
+
+
+def train(encoded: DataFrame, start: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN):
+    """Baum-Welch over all training rows of `encoded`, until a round gains too little; each is one pass, its counts summed by chunks of symbols."""
     spark = encoded.sparkSession
     model = start_model(start, states)
     rows = encoded.where(~F.col("held_out")).select("symbols")
+    tasks = rows.rdd.getNumPartitions()
+    salts = math.isqrt(tasks) if tasks > 64 else 1
+    before = None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)  # bounded by SYMBOLS * STATES numbers
-        got = rows.mapInArrow(_expectation(shared, len(start)), "chunk int, sums binary").groupBy("chunk").applyInPandas(_sum_chunks, "chunk int, sums binary").collect()
+        got = _summed(rows.mapInArrow(_expectation(shared, len(start), salts), SUMS), salts)
+        shared.unpersist()
         if not got:
             break
         by = {r["chunk"]: np.frombuffer(r["sums"], dtype=np.float64).reshape(-1, states) for r in got}
         head = by.pop(-1)
-        emitted = np.vstack([by[k] for k in sorted(by)])
-        first, trans = head[0] + 1, head[1:] + 1
-        emitted = emitted + PRIOR * start[:, None]
+        emitted = PRIOR * start[:, None] + np.zeros((1, states))
+        for k, some in by.items():
+            emitted[k * CHUNK : k * CHUNK + len(some)] += some
+        first, trans = head[0] + 1, head[1 : states + 1] + 1
         model = (first / first.sum(), trans / trans.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
+        likely = head[-1, 0] / max(1.0, head[-1, 1])
+        if before is not None and likely - before < gain * abs(before):
+            break
+        before = likely
     return model
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(word, c) of the most frequent words, no more than `most`: all from the least count on that leaves no more.
+
+    Counts are put in classes a sixteenth of a doubling wide, so that what
+    the driver gets is a row for each class; the end always stands among them.
+    """
+    kind = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    sizes = sorted(((r["k"], r["n"]) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for k, n in sizes:
+        if held + n > most:
+            break
+        least, held = k, held + n
+    end = F.col("word") == F.lit(bytearray(END))
+    return counts.where(end if least is None else end | (kind >= least))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, counted: int = COUNTED) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -268,8 +348,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = pick(docs, id=id_col, text=text_col).select("id", (fold(F.col("id"), folds) == 0).alias("held_out"), "text")
     counts = save(rows.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    top = counts.orderBy((F.col("word") == F.lit(bytearray(END))).desc(), F.desc("c"), "word").limit(counted).toArrow()
-    parts = (top.column("word").to_pylist(), top.column("c").to_pylist(), int(sums["n"]), int(sums["v"]), symbols)
+    top = frequent(counts, counted).toArrow()  # bounded by counted
+    ranked = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (x[0] != END, -x[1], x[0]))
+    parts = ([w for w, _ in ranked], [c for _, c in ranked], int(sums["n"]), int(sums["v"]), symbols)
     lex = Lexicon(*parts)
     shared = spark.sparkContext.broadcast(parts)
     id_type = rows.schema["id"].dataType.simpleString()

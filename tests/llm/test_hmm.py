@@ -79,6 +79,43 @@ def test_expected_counts_match_enumeration():
     assert all(np.allclose(a, b) for a, b in zip(counts, want, strict=True))
 
 
+def test_segments_count_every_token_and_move_once():
+    first, trans, emit = model()
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 5, n) for n in (1, 7, 8, 9, 40, 65)]
+    whole = (np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)))
+    cut = (np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)))
+    likely = H.expect(texts, np.ones(6, dtype=bool), first, trans, emit, whole)
+    parts = [p for t in texts for p in H.segmented(t, 8, 6)]
+    got = H.expect([p[0] for p in parts], np.array([p[1] for p in parts]), first, trans, emit, cut, np.array([p[2] for p in parts]), np.array([p[3] for p in parts]))
+    assert math.isclose(likely, sum(brute_forward(t, first, trans, emit) for t in texts) * math.log(10))
+    assert math.isclose(cut[2].sum(), sum(map(len, texts))) and math.isclose(cut[1].sum(), sum(len(t) - 1 for t in texts))
+    assert all(np.allclose(a, b, rtol=0.03, atol=0.03) for a, b in zip(whole, cut, strict=True)) and abs(got - likely) < 0.01 * abs(likely)
+
+
+def test_frequent_words_are_all_from_a_count_on(spark):
+    rng = random.Random(2)
+    rows = [(bytearray(f"w{i}".encode()), rng.choice([1, 1, 1, 2, 3, 5, 40, 1000])) for i in range(500)] + [(bytearray(H.END), 1)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    for most in (0, 10, 200, 501):
+        got = {bytes(r.word): r.c for r in H.frequent(counts, most).collect()}
+        assert got.pop(H.END) == 1 and len(got) <= most
+        least = min(got.values(), default=10**9)
+        assert all(bytes(w) in got for w, c in rows if c >= least and bytes(w) != H.END)
+    assert len(got) == 500
+
+
+def test_sums_by_way_of_salts(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, t % 4, rng.random(6).tobytes()) for t in range(40) for k in (-1, 0, 1)]
+    want = {k: sum(np.frombuffer(r[2]) for r in rows if r[0] == k) for k in (-1, 0, 1)}
+    df = spark.createDataFrame([(k, s, bytearray(x)) for k, s, x in rows], H.SUMS).repartition(7)
+    for salts in (1, 4):
+        use = df if salts > 1 else df.selectExpr("chunk", "0 AS salt", "sums")
+        got = {r.chunk: np.frombuffer(r.sums) for r in H._summed(use, salts)}
+        assert sorted(got) == sorted(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_tables_without_training_rows(spark):
     assert H.score_texts(spark.createDataFrame([], SCHEMA), rounds=1).count() == 0
     got = H.score_texts(spark.createDataFrame([(None, "a b", 0.0)], SCHEMA), rounds=1).collect()

@@ -8,42 +8,49 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import bound_batches, documents, pick
 
 LEVEL = 3
 DICT_BYTES = 128 << 10  # text of a language that its dictionary holds, at most
+ALL_BYTES = 64 << 20  # of all dictionaries together: where languages are many, each has less
 SAMPLE_DOCS = 200  # labelled texts of a language that are looked at for it, about
 SAMPLE_BYTES = 16 << 10  # of a longer text a slice of at most so many bytes goes into a dictionary, for variety
-LANGUAGES = 1000  # at most
 NARROW = 0.02  # of the winner's size: closer seconds make a prediction doubtful
 SHARP = 0.5  # bits of confidence a byte saved
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A letter by Unicode's categories; MAYBE takes number signs such as a half or a circled one, too."""
+    return any(m.group().isalpha() for m in MAYBE.finditer(text))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample of labelled texts, chosen by a hash of id and text.
 
     Of texts over SAMPLE_BYTES a slice is taken, at a place chosen by the same
-    hash. Null texts and languages are left out; so are languages beyond LANGUAGES,
-    the rarest, of which a table hardly has that many.
+    hash. Null texts and languages are left out; every other language with a
+    text that isn't empty is learned. The driver gets what the dictionaries hold.
     """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").withColumn("size", F.octet_length("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-    h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
     width = SAMPLE_BYTES // 4  # characters of up to four bytes
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
     part = F.when(F.col("size") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", at, F.lit(width)))
-    chosen = rows.withColumn("h", h).where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 40)).select("lang", "h", part.alias("text"))
+    share = F.least(F.lit(1.0), SAMPLE_DOCS / F.col("n"))
+    chosen = rows.withColumn("h", chance).join(F.broadcast(counts), "lang").where(F.col("h") < share * float(1 << 40)).select("lang", "h", part.alias("text"))
+    # about SAMPLE_DOCS rows of a language; what its dictionary has no room for stays behind
+    before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    fits = chosen.withColumn("before", F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))).where(F.col("before") < dict_bytes)
     by: dict[str, list] = {}
-    for r in chosen.toArrow().to_pylist():
+    for r in fits.select("lang", "h", "text").toArrow().to_pylist():
         by.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: b"\n".join(t.encode() for _, t in sorted(own))[:dict_bytes] for k, own in sorted(by.items())}
+    room = min(dict_bytes, max(256, ALL_BYTES // max(1, len(by))))
+    return {k: b"\n".join(t.encode() for _, t in sorted(own))[:room] for k, own in sorted(by.items())}
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +65,7 @@ def _compressors(dicts: tuple[tuple[str, bytes], ...]):
 
 def classify(text: str | None, compressors) -> tuple[str, float, bool]:
     """(language, score, accepted). Of equal sizes the first name wins."""
-    if not text or not compressors or not LETTER.search(text):
+    if not text or not compressors or not has_letter(text):
         return "und", 0.0, False
     raw = text.encode()
     sizes = [(len(c.compress(raw)), name) for name, c in compressors]
@@ -78,7 +85,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
     """
     rows = pick(docs, id=id_col, text=text_col)
     bound_batches(docs)
-    learned = tuple(sorted(dicts.items()))  # at most LANGUAGES times DICT_BYTES
+    learned = tuple(sorted(dicts.items()))  # ALL_BYTES at most
 
     def run(batches):
         compressors = _compressors(learned)

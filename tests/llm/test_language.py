@@ -37,14 +37,51 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, x string")
     dicts = L.learn(df)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 ... _"), (None, "der die und haus"), (4, "the house with water " * 100_000), (4, "the house with water " * 100_000)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 ... _"), (5, "½ ² ① Ⅷ ٣"), (None, "der die und haus"), (4, "the house with water " * 100_000), (4, "the house with water " * 100_000)], "doc_id long, text string")
     got = sorted((str(r.id), r.lang_pred) for r in L.identify(odd, dicts).collect())
-    assert got == [("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("4", "en"), ("None", "de")]
+    assert got == [("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("4", "en"), ("5", "und"), ("None", "de")]
     assert L.learn(df.where(F.lit(False))) == {} and L.learn(df.withColumn("lang", F.lit(None).cast("string"))) == {}
     assert {r.lang_pred for r in L.identify(odd, {}).collect()} == {"und"}
     assert L.identify(odd.limit(0), dicts).count() == 0
 
 
+def test_every_language_is_learned_however_many(spark, monkeypatch):
+    monkeypatch.setattr(L, "ALL_BYTES", 1 << 17)
+    rows = [(i, f"lang{i} " * 60, f"l{i}") for i in range(1200)] + [(5000 + i, WORDS["en"][i % 8] * 3, "en") for i in range(300)]
+    dicts = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(dicts) == 1201 and sum(map(len, dicts.values())) <= 1201 * 256
+
+
+def brute(rows, dicts):
+    """(id, held_out, lang_pred, score) one text at a time, with compressors made afresh."""
+    import zlib
+
+    import zstandard
+
+    out = []
+    for i, t, *_ in rows:
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        if not t or not any(c.isalpha() for c in t):
+            out.append((i, held, "und", 0.0))
+            continue
+        sizes = {}
+        for name, raw in dicts.items():
+            c = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] = len(c.compress(t.encode()))
+        best = min(sizes.items(), key=lambda x: (x[1], x[0]))
+        out.append((i, held, best[0], round(1 / sum(2.0 ** (-L.SHARP * min(s - best[1], 2000)) for s in sizes.values()), 9)))
+    return out
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    rows = corpus(150) + [(900, None, "en", "x"), (901, "12", "de", "x"), (902, "der die", None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    dicts = L.learn(docs.where(L.fold(F.col("doc_id"), 5) != 0))
+    got = L.op9_language_id(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == sorted(brute(rows, dicts))
+
+
 def test_narrow_margins_are_rejected():
     same = b"common words here xyzxyz" * 20
     c = L._compressors((("a", same), ("b", same)))

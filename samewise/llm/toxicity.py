@@ -11,16 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import bound_batches, documents, fresh, pick
+from samewise.plans.materialize import discard, save
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 8_000  # labelled rows of each class that a model is fitted on, at most (about: rows are chosen by hash)
-MAX_FEATURES = 20_000
-MIN_DF = 4
+MAX_FEATURES = 20_000  # words that the model weighs, the surest; the others say nothing about a text
+MIN_DF = 4  # rows of the sample that a word stands in at least
 STEM = 4
 SURE = 15.0  # squared z of a word's two rates
 REJECT_FROM = 0.3  # probability of a grade above 0
@@ -94,6 +94,19 @@ def severity_grades(present: list[np.ndarray], flagged: np.ndarray, names: list[
     return np.where(flagged, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
+def telling_words(sample: DataFrame, n1: int, n0: int) -> list[str]:
+    """The words of (grade, words) whose rates in the n1 flagged and the n0 other rows differ surely, surest first, at most MAX_FEATURES.
+
+    Counted by Spark: the driver gets the chosen words only.
+    """
+    counted = sample.select((F.col("grade") > 0).cast("int").alias("flagged"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("flagged").alias("in1"))
+    every = F.col("df") / (n1 + n0)
+    z2 = F.pow(F.col("in1") / n1 - (F.col("df") - F.col("in1")) / n0, 2) / F.greatest(every * (1 - every) * (1 / n1 + 1 / n0), F.lit(1e-12))
+    # ties by the word itself
+    kept = counted.where(F.col("df") >= MIN_DF).select("word", z2.alias("z2")).where(F.col("z2") >= SURE).orderBy(F.desc("z2"), "word").limit(MAX_FEATURES)
+    return [r["word"] for r in kept.collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """A model from a bounded sample of the labelled rows.
 
@@ -103,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left out; of several labels of an id the highest counts. Without both
     classes the model gives grade 0 to every text.
     """
+    spark = docs.sparkSession
     graded = pick(labels, id=id_col, grade=grade_col).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max(F.col("grade").cast("int")).alias("grade"))
     sizes = {r["flagged"]: r["n"] for r in graded.groupBy((F.col("grade") > 0).alias("flagged")).agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {True, False}:
@@ -118,41 +132,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # the sample's ids are bounded by sample_rows, so they can go to every task
     rows = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(chosen), "id").select("grade", "text")
-    table = rows.mapInArrow(words, "grade int, words array<string>").toArrow()
-    if not table.num_rows:
+    sample = save(rows.mapInArrow(words, "grade int, words array<string>"), "toxicity-sample")
+    n = {r["flagged"]: r["n"] for r in sample.groupBy((F.col("grade") > 0).alias("flagged")).agg(F.count("*").alias("n")).collect()}
+    names = telling_words(sample, n[True], n[False]) if set(n) == {True, False} else []
+    if not names:
+        discard(sample)
         return OrdinalModel({}, [60.0])
+    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})  # at most MAX_FEATURES words
+
+    def coded(batches):
+        at = place.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[at[w] for w in own if w in at] for own in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["grade", "cols"])
+
+    table = sample.mapInArrow(coded, "grade int, cols array<int>").toArrow()
+    discard(sample)
     grade = np.asarray(table.column("grade").combine_chunks())
-    lists = table.column("words").combine_chunks()
-    coded = pc.dictionary_encode(lists.flatten())
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    codes = np.asarray(coded.indices)
-    doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    lists = [np.array(x, dtype=np.int64) for x in table.column("cols").to_pylist()]
+    # the order of rows must not matter
+    order = sorted(range(len(lists)), key=lambda i: (int(grade[i]), lists[i].tolist()))
+    grade, lists = grade[order], [lists[i] for i in order]
     flagged = grade > 0
-    if flagged.all() or not flagged.any():
-        return OrdinalModel({}, [60.0])
-    df = np.bincount(codes, minlength=len(coded.dictionary))
-    n1, n0 = int(flagged.sum()), int((~flagged).sum())
-    in1 = np.bincount(codes[flagged[doc]], minlength=len(df))
-    every = df / (n1 + n0)
-    # words whose rates differ surely; ties by the word itself, so the order of rows doesn't matter
-    z2 = (in1 / n1 - (df - in1) / n0) ** 2 / np.maximum(every * (1 - every) * (1 / n1 + 1 / n0), 1e-12)
-    names = coded.dictionary.to_pylist()
-    kept = sorted(np.flatnonzero((df >= MIN_DF) & (z2 >= SURE)).tolist(), key=lambda c: (-z2[c], names[c]))[:MAX_FEATURES]
-    if not kept:
-        return OrdinalModel({}, [60.0])
-    at = np.full(len(df), -1)
-    at[kept] = np.arange(len(kept))
-    use = at[codes] >= 0
-    rows_, cols_ = doc[use], at[codes[use]]
+    rows_, cols_ = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
     if grade.max() == 1:
-        bounds = np.searchsorted(rows_, np.arange(len(grade) + 1))
-        grade = severity_grades([cols_[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], flagged, [names[c] for c in kept])
+        grade = severity_grades(lists, flagged, names)
     # grades that don't occur have no threshold of their own
     level = {g: i for i, g in enumerate(sorted(set(grade.tolist())))}
     weight = np.where(flagged, 1 / share[True], 1 / share[False])
     weight = weight * len(weight) / weight.sum()
-    w, theta = fit_ordinal(rows_, cols_, np.array([level[g] for g in grade.tolist()]), weight, len(kept))
-    return OrdinalModel({names[c]: float(w[i]) for i, c in enumerate(kept) if abs(w[i]) > 1e-4}, [float(x) for x in theta])
+    w, theta = fit_ordinal(rows_, cols_, np.array([level[g] for g in grade.tolist()]), weight, len(names))
+    return OrdinalModel({x: float(w[i]) for i, x in enumerate(names) if abs(w[i]) > 1e-4}, [float(x) for x in theta])
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:

@@ -73,3 +73,55 @@ def test_odd_rows(spark):
     none = T.fit(df, empty)
     assert {r["_toxicity"].grade for r in T.with_severity(odd, none).collect()} == {0}
     assert T.with_severity(df.limit(0), model).count() == 0
+
+
+def brute(text, model):
+    """Severity, chance of a grade above 0 and likeliest grade, one word at a time."""
+    words = set()
+    run = ""
+    for c in (text or "").lower() + " ":
+        if T.WORD.fullmatch(c):
+            run += c
+        elif run:
+            words.add(run)
+            run = ""
+    if not words:
+        return 0.0, 0.0, 0
+    words |= {"^" + w[:4] for w in words if len(w) > 4}
+    score = sum(model.weights.get(w, 0.0) for w in words)
+    below = [1 / (1 + math.exp(-(t - score))) for t in model.thresholds] + [1.0]
+    p = [b - a for a, b in zip([0.0, *below], below, strict=False)]
+    return sum(k * x for k, x in enumerate(p)), 1 - p[0], max(range(len(p)), key=lambda k: p[k])
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    docs, labels = corpus(300)
+    docs = [d[:2] for d in docs] + [(900, None), (901, ""), (902, "Vile, SCUM!"), (903, "½ 12")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    models = [T.fit(d, read("labels")) for d in (read("documents"), read("documents").repartition(5))]
+    assert models[0].weights == models[1].weights and models[0].thresholds == models[1].thresholds
+    got = {r.doc_id: r for r in T.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        severity, p, grade = brute(t, models[0])
+        assert math.isclose(got[i].severity, severity, abs_tol=1e-9) and math.isclose(got[i].p_toxic, p, abs_tol=1e-9) and got[i].grade == grade and got[i].toxic == (p >= 0.3)
+    assert got[902].toxic and got[902].severity > 1
+
+
+def test_words_are_those_of_surest_rates(spark, monkeypatch):
+    docs, labels = corpus(300)
+    y = {i: t for i, _, t in labels}
+    rows = [(y[i], sorted(T.features(t))) for i, t, _ in docs]
+    n1 = sum(y.values())
+    n0 = len(rows) - n1
+    z = {}
+    for w in {w for _, own in rows for w in own}:
+        df, in1 = sum(w in own for _, own in rows), sum(w in own for g, own in rows if g)
+        every = df / (n1 + n0)
+        if df >= T.MIN_DF:
+            z[w] = (in1 / n1 - (df - in1) / n0) ** 2 / max(every * (1 - every) * (1 / n1 + 1 / n0), 1e-12)
+    want = sorted((w for w in z if z[w] >= T.SURE), key=lambda w: (-round(z[w], 9), w))
+    got = T.telling_words(spark.createDataFrame(rows, "grade int, words array<string>"), n1, n0)
+    assert sorted(got) == sorted(want) and [round(z[w], 9) for w in got] == [round(z[w], 9) for w in want]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from samewise.llm import editembed as E
 
@@ -53,10 +54,91 @@ def test_rows_match_brute_force(spark):
         e = E.edited(t, u)
         fs = [brute_fp(x) for x in (t, e, u)]
         want[i] = (i, len(t), hashlib.sha256(e.encode()).hexdigest(), fs[0], fs[1], E.likeness(fs[0], fs[1]), E.likeness(fs[0], fs[2]))
+    classes = dict(zip([i for i, _ in rows], brute_classes(rows), strict=True))
+    want = {i: (*row, classes[i]) for i, row in want.items()}
     for parts in (2, 7):
         assert {r.id: tuple(r) for r in E.edit_robustness(df, parts=parts).collect()} == want
 
 
+def brute_classes(rows, least=0.8):
+    """Components of all pairs with a likeness of least or more, by the smallest id that isn't null."""
+    fps = [brute_fp(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if fps[i] == fps[j] or E.likeness(fps[i], fps[j]) >= least:
+                root[find(i)] = find(j)
+    best = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            best[find(i)] = min(best.get(find(i), k), k)
+    return [best.get(find(i)) for i in range(len(rows))]
+
+
+def near_copies(seed=6):
+    """Texts and edits of them: insertions, changed ends, cuts over a step in scale."""
+    rng = random.Random(seed)
+    say = lambda n: "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+    out = []
+    for n in (9, 40, 70, 127, 130, 260, 700, 1024, 1100, 2000, 2100, 5000):
+        t = say(n)
+        out += [t, t[: n // 2] + "Q" + t[n // 2 :], t[:-2] + "zz", t + say(n // 20), t[: n - n // 10], say(n)]
+    return out
+
+
+def test_classes_match_brute_force(spark):
+    some = near_copies()
+    rows = list(enumerate(some)) + [(500, some[0]), (None, some[6]), (None, "nobody has this one"), (501, None), (502, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), str(c)) for (i, _), c in zip(rows, brute_classes(rows), strict=True))
+    assert len({c for _, c in want}) < 60
+    for cell in (E.CELL, 6):
+        got = E.near_classes(df, cell=cell).collect()
+        assert sorted((str(r.id), str(r.component)) for r in got) == want
+    strings = spark.createDataFrame([(None if i is None else f"d{i:04d}", t) for i, t in rows], "doc_id string, text string")
+    by_text = {r.id: r.component for r in E.edit_robustness(strings).collect() if r.id}
+    assert by_text == {f"d{int(i):04d}": f"d{int(c):04d}" for i, c in want if i != "None"}
+
+
+def test_a_hot_band_loses_no_link(spark):
+    """A long start that all share puts most in the same bands, far more than a cell holds; pairs unlike the first are still found."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+    start = say(900)
+    rows = []
+    for i in range(150):
+        t = start + say(1100)
+        rows += [(2 * i, t), (2 * i + 1, t[:1990] + "x" + t[1991:])]
+    fps = E.fingerprints([t for _, t in rows])
+    assert max(Counter(k for f in fps for k in set(E.bands(f))).values()) > 100
+    got = {r.id: r.component for r in E.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), cell=32).collect()}
+    want = dict(zip([i for i, _ in rows], brute_classes(rows), strict=True))
+    assert got == want and len(set(want.values())) > 100
+
+
+def test_recall_of_bands_at_the_least_likeness():
+    rng = random.Random(3)
+    met = total = 0
+    while total < 400:
+        n = rng.choice([60, 200, 600, 1500, 4000, 9000])
+        t = "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+        u = t
+        for _ in range(rng.randint(1, 3)):
+            at, w = rng.randrange(n), rng.randint(1, max(1, n // 15))
+            u = u[:at] + "".join(rng.choice("etaoinshrdlu ") for _ in range(w)) + u[at + rng.randint(0, w) :]
+        a, b = E.fingerprints([t, u])
+        if 0.8 <= E.likeness(a, b) < 0.9:
+            total += 1
+            met += bool(set(E.bands(a)) & set(E.bands(b)))
+    assert met / total >= 0.95, met / total
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, guest int"
     one = E.edit_robustness(spark.createDataFrame([(5, "abcdef", 1)], schema)).collect()

@@ -3,14 +3,18 @@
 The documents of a source form a queue. Each window of `size` tokens gives
 every source a quantum, its share of all tokens; a source is served from its
 queue as long as its deficit allows, and what it is owed or has had too much
-goes on to the next window. The queues are cut at equal shares into blocks
-that are packed side by side: a block starts with the deficits that the plan
-leaves there, and on the global grid of windows where the block before ends.
+goes on to the next window. The shares are those asked for, or else the
+sources' own; a source that has run dry leaves its share to the others, so
+every document is packed. The queues are cut where that plan stands after
+equal numbers of tokens, into blocks that are packed side by side: a block
+starts with the deficits that the plan leaves there, and on the global grid of
+windows where the block before ends.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -56,19 +60,20 @@ def serve(queues: list[list[tuple[int, int]]], deficits: list[float], shares: li
     deficits = list(deficits)
     left = sum(n for q in queues for _, n in q)
     g, turn = start, 0
-    order = range(len(queues))
+    order = list(range(len(queues)))
     while left:
         seq, off, room = grid.at(g)
         room = min(room, left)
+        # what has run dry leaves its share to the others
+        order = [s for s in order if heads[s] < len(queues[s])]
+        due = sum(shares[s] for s in order) or 1.0
         for s in order:
-            deficits[s] += room * shares[s]
+            deficits[s] += room * shares[s] / due
         while room:
             best = None
-            for k in order:
-                s = (turn + k) % len(queues)
-                if heads[s] == len(queues[s]):
-                    continue
-                if deficits[s] >= min(LEAST, queues[s][heads[s]][1] - done[s], room):
+            at = bisect_left(order, turn)
+            for s in (*order[at:], *order[:at]):
+                if heads[s] < len(queues[s]) and deficits[s] >= min(LEAST, queues[s][heads[s]][1] - done[s], room):
                     best = s
                     break
             if best is None:  # none is owed enough: the one that is owed most
@@ -80,12 +85,43 @@ def serve(queues: list[list[tuple[int, int]]], deficits: list[float], shares: li
             done[best] += take
             if done[best] == n:
                 heads[best], done[best] = heads[best] + 1, 0
-            turn = (best + 1) % len(queues)
+            turn = best + 1
             g, off, room, left = g + take, off + take, room - take, left - take
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = SIZE, encoder: ByteEncoder | None = None, with_ids: bool = True) -> DataFrame:
+def plan(sizes: dict[str | None, int], shares: dict[str, float]) -> list[tuple[str | None, int, int, float, float, float]]:
+    """How sources with shares run down: (source, from, to, at, per, share) for each stretch between two of them running dry.
+
+    sizes: tokens of the sources with a share and, under None, of all others
+    together, which have what is left of 1. From its token `from` to `to` a
+    source is served at the global token at + (q - from) * per, at `share` of
+    all tokens.
+    """
+    named = {k: float(v) for k, v in shares.items()}
+    if any(v < 0 for v in named.values()) or sum(named.values()) > 1 + 1e-9:
+        raise ValueError("shares are 0 or more and add up to 1 at most")
+    named[None] = max(0.0, 1.0 - sum(named.values()))
+    left = {k: n for k, n in sizes.items() if n}
+    out, at = [], 0.0
+    while left:
+        due = {k: named.get(k, 0.0) for k in left}
+        if not sum(due.values()):  # only sources of no share are left: in their own proportions
+            due = {k: float(n) for k, n in left.items()}
+        total = sum(due.values())
+        due = {k: v / total for k, v in due.items() if v}
+        span = min(left[k] / v for k, v in due.items())
+        for k, v in due.items():
+            took = min(left[k], round(span * v)) if left[k] / v > span * (1 + 1e-12) else left[k]
+            lo = sizes[k] - left[k]
+            out.append((k, lo, lo + took, at, span / max(1, took), v))
+            left[k] -= took
+        left = {k: n for k, n in left.items() if n}
+        at += span
+    return out
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = SIZE, encoder: ByteEncoder | None = None, with_ids: bool = True, shares: dict[str, float] | None = None) -> DataFrame:
     """(id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32[, ids]): one row for each piece.
 
     A null text is empty: only the end id. A null source is a source of its
@@ -94,6 +130,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     document of any length is cut over as many sequences as it needs; there is
     no padding, as the tokens after the last full sequence fill sequences of
     powers of two.
+
+    shares: the proportions of tokens that sources are to have in each
+    sequence. Sources without one have what is left of 1, in their own
+    proportions; a source of share 0 comes when all others have run dry. Where
+    a source has run dry the rest go on in theirs, so no document is left out.
+    Without shares every source has its own proportion throughout.
     """
     rows = pick(docs, id=id_col, source=source_col, text=text_col).withColumn("source", F.col("source").cast("string"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -106,27 +148,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     inside = Window.partitionBy("part", "queue").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     blocks = int(min(BLOCKS, max(1, total // BLOCK_TOKENS)))
-    queued = (
-        lengths.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(bases, ["queue", "part"])
-        .withColumn("q", F.col("base") + F.col("inside"))
-        .withColumn("block", F.floor(F.col("q").cast("decimal(38,0)") * blocks / F.col("queue_tokens")).cast("long"))
-        .select("block", "queue", "part", "row", "q", "n", "queue_tokens")
-    )
-    queued = save(queued, "packing-queues")
+    placed = lengths.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, ["queue", "part"]).withColumn("q", F.col("base") + F.col("inside"))
+    own_share = F.col("queue_tokens") / F.lit(max(1, total))
+    if shares is None:
+        planned = placed.withColumn("block", F.floor(F.col("q").cast("decimal(38,0)") * blocks / F.col("queue_tokens")).cast("long")).withColumns({"start_q": F.col("block") * F.col("queue_tokens") / blocks, "share": own_share})
+    else:
+        planned = _planned(placed, per_part, {f"={k}": v for k, v in shares.items()}, total, blocks)
+    queued = save(planned.select("block", "queue", "part", "row", "q", "n", "start_q", "share"), "packing-queues")
     # at most BLOCKS rows
     starts = queued.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("block_start"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["queue", "q"], kind="stable").reset_index(drop=True)
-        queues, deficits, shares = [], [], []
-        b = int(pdf.block.iloc[0])
+        queues, deficits, due = [], [], []
         for _, own in pdf.groupby("queue", sort=True):
-            size_of = int(own.queue_tokens.iloc[0])
             queues.append(list(zip(own.index.tolist(), own.n.tolist(), strict=True)))
-            deficits.append(b * size_of / blocks - int(own.q.iloc[0]))
-            shares.append(size_of / total)
-        got = serve(queues, deficits, shares, int(pdf.block_start.iloc[0]), Grid(total, size))
+            deficits.append(own.start_q.iloc[0] - int(own.q.iloc[0]))
+            due.append(own.share.iloc[0])
+        got = serve(queues, deficits, due, int(pdf.block_start.iloc[0]), Grid(total, size))
         cols = np.array(got, dtype=np.int64).reshape(-1, 5)
         return pd.DataFrame({"part": pdf.part.to_numpy()[cols[:, 0]], "row": pdf.row.to_numpy()[cols[:, 0]], "start": cols[:, 1], "length": cols[:, 2], "sequence_id": cols[:, 3], "offset": cols[:, 4]})
 
@@ -159,6 +198,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return tokens.select("part", "row", "id", "source", "n", "ids").join(per_doc, ["part", "row"]).select("id", "source", "n", "ids", "pieces").mapInArrow(cut, schema)
 
 
+def _planned(placed: DataFrame, per_part: DataFrame, shares: dict[str, float], total: int, blocks: int) -> DataFrame:
+    """placed with the block of each document by plan(), where the plan stands in its queue at the block's start, and its share there."""
+    spark = placed.sparkSession
+    group = F.when(F.col("queue").isin(*shares), F.col("queue")) if shares else F.lit(None).cast("string")
+    # a row for each source with a share, one for all others
+    sizes = {r["group"]: r["n"] for r in per_part.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).collect()}
+    stretches = spark.createDataFrame([(k, sizes[k], float(lo), float(hi), at, per, share) for k, lo, hi, at, per, share in plan(sizes, shares)], "of string, size long, lo double, hi double, at double, per double, share double")
+    scale = F.col("queue_tokens") / F.col("size")  # of a queue among the others of its group
+    out = placed.withColumn("group", group).join(F.broadcast(stretches), F.col("group").eqNullSafe(F.col("of")) & (F.col("q") / scale >= F.col("lo")) & (F.col("q") / scale < F.col("hi")))
+    at = F.col("at") + (F.col("q") / scale - F.col("lo")) * F.col("per")
+    out = out.withColumn("block", F.least(F.lit(blocks - 1), F.floor(at * blocks / F.lit(total))).cast("long"))
+    # the plan's token of this queue at the block's start, in the stretch that the block's first document lies in
+    start = (F.col("lo") + (F.col("block") * F.lit(total / blocks) - F.col("at")) / F.col("per")) * scale
+    return out.withColumn("start_q", F.greatest(F.col("lo") * scale, start)).withColumn("share", F.col("share") * F.when(F.col("group").isNull(), scale).otherwise(F.lit(1.0)))
+
+
 NAMES = ["id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
 
 

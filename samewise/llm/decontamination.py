@@ -2,10 +2,11 @@
 
 Windows of an item's size are laid so that a shingle which document and item
 share stands at the same place in both (moved inside the document at its
-ends). A window and an item are
-compared if their SimHash fingerprints are within RADIUS bits: of RADIUS + 1
-blocks one is then equal, so joining on equal blocks misses none. The weighted
-similarity of the shingles themselves decides.
+ends). A window and an item are compared if their SimHash fingerprints are
+within RADIUS bits: of the blocks of BLOCK_BITS bits one then differs by
+RADIUS // blocks bits at most. Items, which are few, are indexed under every
+value so near to theirs, windows under their own, so joining on equal values
+misses none. The weighted similarity of the shingles themselves decides.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, fresh, pick
+from samewise.llm.sieve import sifted
 from samewise.plans.materialize import save
 
 SHINGLE = 5  # words
 RADIUS = 22  # of 64 bits; a similarity of 0.8 is a distance of about 10, and may be up to 20
+BLOCK_BITS = 8
 SIMILARITY = 0.8
+WEIGHT_BITS = 20  # of an element that hold the characters of its shingle; the others hold a hash
 SMALL_ROWS = 500_000  # rows of two longs that may be sent to every executor
 LISTED = 50_000  # hashes of items' shingles that may stand in a plan as a set
+SIEVE_BITS = 27  # beyond LISTED: 2 ** SIEVE_BITS bits, 16 MB, tell which shingles can't be an item's
 
 
 WORDS_SQL = r"filter(split(lower(text), r'[^\p{L}\p{N}]+'), w -> w <> '')"
@@ -42,17 +47,39 @@ def _shingles(words: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is known to be small; df must be a written table, so counting is cheap."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it is known to be small; df must be a written table, so counting is cheap, or `rows` says how many it has."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two shingle lists as multisets, each shingle weighing its characters: sum of minima over sum of maxima."""
-    both = F.array_distinct(F.concat(a, b))
-    times = lambda side, s: F.size(F.filter(side, lambda x: x == s))
-    part = lambda pickf: F.aggregate(both, F.lit(0).cast("long"), lambda acc, s: acc + (F.length(s) * pickf(times(a, s), times(b, s))).cast("long"))
-    return part(F.least) / part(F.greatest)
+def elements(shingles: Column) -> Column:
+    """Shingles as a set of longs: a hash over the shingle and which of its repeats this is, then its characters.
+
+    Two lists share as many repeats of a shingle as both have, so the weighted
+    similarity of the lists is one of sets.
+    """
+    mask = (1 << WEIGHT_BITS) - 1
+    hashed = F.transform(shingles, lambda s: F.struct(F.xxhash64(s).alias("h"), F.least(F.length(s), F.lit(mask)).alias("w")))
+
+    def one(x: Column, i: Column, own: Column) -> Column:
+        nth = i + 1 - F.array_position(own["hashes"], x["h"])
+        return F.xxhash64(x["h"], nth).bitwiseAND(F.lit(~mask)).bitwiseOR(x["w"].cast("long"))
+
+    # array(...) with a lambda over it, or the sorted list would be made anew for each element
+    both = lambda own: F.struct(own.alias("list"), F.transform(own, lambda x: x["h"]).alias("hashes"))
+    listed = F.transform(F.array(F.array_sort(hashed)), both)
+    return F.flatten(F.transform(listed, lambda own: F.transform(own["list"], lambda x, i: one(x, i, own))))
+
+
+def weight(found: Column) -> Column:
+    """The characters of a list of elements."""
+    return F.aggregate(found, F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)))
+
+
+def similarity(a: Column, b: Column, weight_a: Column, weight_b: Column) -> Column:
+    """Weighted Jaccard of two shingle lists as multisets, each shingle weighing its characters: from elements() and weight()."""
+    both = weight(F.array_intersect(a, b))
+    return both / (weight_a + weight_b - both)
 
 
 def leaks(
@@ -80,7 +107,8 @@ def leaks(
         .select("item_id", words_of(F.col("text")).alias("words"))
         .where(size > 0)
         .select("item_id", "words", size.alias("n"), F.least(F.lit(SHINGLE), size).alias("k"))
-        .select("item_id", "n", "k", _shingles(F.col("words"), F.col("k")).alias("shingles"), "words"),
+        .select("item_id", F.xxhash64("item_id", "words").alias("item_key"), "n", "k", _shingles(F.col("words"), F.col("k")).alias("shingles"), "words")
+        .dropDuplicates(["item_key"]),
         "decontamination-items",
     )
     sizes = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most five numbers
@@ -99,11 +127,16 @@ def leaks(
             tests.append(f"(size(ws) >= {k} AND exists(sequence(0, size(ws) - {k}), i -> xxhash64({shingle}) IN ({listed})))")
         shared = F.expr(f"exists(array({WORDS_SQL}), ws -> {' OR '.join(tests) or 'false'})")
         texts = save(texts.where(shared), "decontamination-texts")
+        listed_all = True
+    else:
+        listed_all = False
     windows = None
     for k, anchors in anchor_of.items():
         places = texts.select("id", "own", words_of(F.col("text")).alias("words")).select(
             "id", "own", size.alias("n_doc"), F.posexplode(_shingle_hashes(F.col("words"), k)).alias("p", "h")
         )
+        if not listed_all:  # what is certainly in no item is never shuffled
+            places = sifted(places, F.col("h"), anchors.select("h"), SIEVE_BITS)
         found = (
             places.join(_small(anchors), "h")
             .select("id", "own", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n_doc") - F.col("n"))).alias("start"), F.least("n", "n_doc").alias("len"), F.col("n").alias("class"), F.lit(k).alias("k"))
@@ -125,39 +158,55 @@ def leaks(
         .select("id", "own", "win.*", F.slice("words", F.col("win.start") + 1, F.col("win.len")).alias("part"))
         .select("id", "own", "start", "len", "class", _shingles(F.col("part"), F.least("k", "len")).alias("shingles"))
     )
-    left = _blocks(laid, radius)
-    right = _blocks(bench.select("item_id", F.col("n").alias("class"), "shingles"), radius)
+    laid = save(_fingerprinted(laid), "decontamination-laid")
+    known = save(_fingerprinted(bench.select("item_id", "item_key", F.col("n").alias("class"), "shingles")), "decontamination-known")
+    near = _near(radius)
+    left = laid.select("id", "own", "start", "len", "class", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << BLOCK_BITS) if m.bit_count() <= near])
+    right = (
+        known.select("item_id", "item_key", "class", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
+        .select("item_id", "item_key", "class", "item_fp", "b.block", F.explode(F.transform(masks, lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
+    )
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # a pair that meets in several blocks counts in the first of them only
+    first = F.coalesce(*[F.when(F.expr(f"bit_count(shiftrightunsigned(differ, {i * BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L) <= {near}"), F.lit(i)) for i in range(64 // BLOCK_BITS)])
     pairs = (
-        left.join(right.select("item_id", "class", "block", "value", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles")), ["class", "block", "value"])
-        .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        .where(F.col("hamming") <= radius)
-        .withColumn("differ", F.col("fp").bitwiseXOR(F.col("item_fp")))
+        left.join(_small(right, known.count() * (64 // BLOCK_BITS) * sum(m.bit_count() <= near for m in range(1 << BLOCK_BITS))), ["class", "block", "value"])
+        .withColumn("differ", differ)
+        .withColumn("hamming", F.bit_count("differ"))
+        .where((F.col("hamming") <= radius) & (F.col("block") == first))
+        .select("id", "own", "start", "len", "class", "item_id", "item_key", "hamming")
     )
-    # a pair with several equal blocks is verified in the first of them only
-    edges = block_edges(radius)
-    first = F.coalesce(*[F.when(F.expr(f"shiftrightunsigned(differ, {lo}) & {(1 << (hi - lo)) - 1}L") == 0, F.lit(i)) for i, (lo, hi) in enumerate(edges)])
-    scored = pairs.where(F.col("block") == first).withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
+    lists = laid.select("id", "own", "start", "len", "class", "elements", "weight")
+    same = F.col("p.id").eqNullSafe(F.col("l.id"))
+    for c in ("own", "start", "len", "class"):
+        same = same & (F.col(f"p.{c}") == F.col(f"l.{c}"))
+    held = pairs.alias("p").join(lists.alias("l"), same).select("p.*", "l.elements", "l.weight")
+    scored = held.join(_small(known.select("item_key", F.col("elements").alias("item_elements"), F.col("weight").alias("item_weight")), known.count()), "item_key")
+    scored = scored.withColumn("similarity", similarity(F.col("elements"), F.col("item_elements"), F.col("weight"), F.col("item_weight"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("id", "own", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "len", "hamming")).alias("b"))
     return best.select(
         "id", "own", "item_id", F.col("b.start").alias("start_word"), F.col("b.len").alias("n_words"), F.col("b.hamming").cast("int").alias("hamming"), (-F.col("b.s")).alias("similarity")
     )
 
 
-def block_edges(radius: int) -> list[tuple[int, int]]:
-    """The 64 bits in radius + 1 blocks."""
-    m = radius + 1
-    at = [round(i * 64 / m) for i in range(m + 1)]
-    return list(zip(at[:-1], at[1:], strict=True))
+def _near(radius: int) -> int:
+    """Bits in which the nearest block of two fingerprints within radius differs at most."""
+    return radius // (64 // BLOCK_BITS)
+
+
+def _blocks(fp: Column) -> Column:
+    value = lambda i: F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    return F.array(*[F.struct(F.lit(i).alias("block"), value(i).cast("long").alias("value")) for i in range(64 // BLOCK_BITS)])
 
 
-def _blocks(df: DataFrame, radius: int) -> DataFrame:
-    """df with its fingerprint, once for each block, with the block's number and value."""
-    columns = df.columns
+def _fingerprinted(df: DataFrame) -> DataFrame:
+    """df with the fingerprint, the elements and the weight of its shingles in place of them."""
+    columns = [c for c in df.columns if c != "shingles"]
     hashed = df.withColumn("hs", F.transform("shingles", lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("w"))))
     total = "aggregate(hs, 0, (acc, x) -> acc + IF((shiftrightunsigned(x.h, b) & 1L) = 1L, x.w, -x.w))"
-    fp = hashed.withColumn("fp", F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | IF({total} > 0, shiftleft(1L, b), 0L))")).select(*columns, "fp")
-    values = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L").alias("value")) for i, (lo, hi) in enumerate(block_edges(radius))])
-    return fp.select(*columns, "fp", F.explode(values).alias("b")).select(*columns, "fp", "b.*")
+    fp = F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | IF({total} > 0, shiftleft(1L, b), 0L))")
+    return hashed.select(*columns, fp.alias("fp"), elements(F.col("shingles")).alias("elements")).select("*", weight(F.col("elements")).alias("weight"))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

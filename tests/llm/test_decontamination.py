@@ -6,6 +6,7 @@ import duckdb
 import xxhash
 
 from samewise.llm import decontamination as D
+from samewise.llm import sieve
 
 W = re.compile(r"[^\W_]+")
 
@@ -90,6 +91,40 @@ def test_large_benchmark_goes_by_shuffle(spark, monkeypatch):
     assert sorted(map(str, D.leaks(d, b).collect())) == want
 
 
+def test_beyond_a_listed_benchmark_a_sieve_keeps_shingles_from_the_shuffle(spark, monkeypatch):
+    docs, items = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, D.leaks(d, b).collect()))
+    monkeypatch.setattr(D, "LISTED", -1)
+    monkeypatch.setattr(D, "SMALL_ROWS", -1)
+    monkeypatch.setattr(D, "SIEVE_BITS", 14)
+    assert sorted(map(str, D.leaks(d, b).collect())) == want
+    hashes = [3, -5, 1 << 40, 77]
+    bitmap = sieve.sieve(spark.createDataFrame([(h,) for h in hashes], "h long"), 14).head()["sieve"]
+    assert len(bitmap) == 1 << 8 and {i for i in range(1 << 14) if bitmap[i >> 6] >> (i & 63) & 1} == {h & 0x3FFF for h in hashes}
+
+
+def test_long_items_and_repeats(spark):
+    """Thousands of words, with shingles that repeat: the similarity of sets of elements is the multisets'."""
+    rng = random.Random(12)
+    q = [rng.choice(["a", "bb", "ccc"]) for _ in range(3000)]
+    w = q[:1500] + ["x"] * 120 + q[1620:]
+    rows = [(1, " ".join(q)), (2, "start " * 50 + " ".join(w))]
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(q))], "item_id long, text string")).collect()
+    # the window of the second text that fits best
+    assert {r.id: round(r.similarity, 9) for r in got} == {1: 1.0, 2: round(max(sim(sh(q), sh((["start"] * 50 + w)[s : s + 3000])) for s in (48, 49, 50)), 9)}
+
+
+def test_blocks_reach_every_pair_in_radius_and_few_others():
+    rng = random.Random(2)
+    near, bits, mask = D._near(D.RADIUS), D.BLOCK_BITS, (1 << D.BLOCK_BITS) - 1
+    met = lambda x: any((x >> i & mask).bit_count() <= near for i in range(0, 64, bits))
+    for _ in range(2000):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, D.RADIUS)))
+        assert met(x)
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, fresh, pick
 from samewise.llm.meeting import forests, spanning_links
+from samewise.llm.sieve import sifted
 from samewise.operators.graph import connected_components
 from samewise.plans.materialize import discard, save, shuffle_partitions
 
@@ -306,6 +307,7 @@ SHINGLE, SIMILAR = 5, 0.8  # words; Jaccard similarity of the sets of shingles f
 BANDS, ROWS = 24, 5  # two texts meet if a band's minima are equal: at 0.8 all bands miss with (1 - 0.8 ** 5) ** 24, or 7 in 100,000
 SURE = 66  # equal minima of 120 below which a pair is not verified: at a similarity of 0.8 one is expected in 10^9 or so
 CELL = 2048  # texts that meet in one task at once
+SIEVE_BITS = 24  # 2 MB tell which texts stand in no cell
 
 MIXERS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "big"), 11) for i in range(2 * BANDS * ROWS)], dtype=np.uint64).reshape(2, -1)
 MIXERS[0] |= np.uint64(1)
@@ -378,9 +380,14 @@ def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
 
     def compare(cells: DataFrame) -> DataFrame:
         texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").withColumn("own", F.xxhash64("text"))
-        laid = texts.join(cells.join(places, "node"), F.col("id").eqNullSafe(F.col("kid")) & (F.col("own") == F.col("kown"))).select("cell", "node", "text")
+        placed = save(cells.join(places, "node"), "simhash-cells")
+        # what stands in no cell is not shuffled; what may, always is, so growth is the same at every size
+        some = sifted(texts, F.col("own"), placed.select(F.col("kown").alias("h")), SIEVE_BITS)
+        laid = some.hint("merge").join(placed, F.col("id").eqNullSafe(F.col("kid")) & (F.col("own") == F.col("kown"))).select("cell", "node", "text")
         dealt = laid.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell")
-        return save(forests(dealt, lambda t: shingle_set(t.encode()), alike), "simhash-verified")
+        out = save(forests(dealt, lambda t: shingle_set(t.encode()), alike), "simhash-verified")
+        discard(placed)
+        return out
 
     found = spanning_links(entries, compare, cell)
     discard(classes)

@@ -139,11 +139,10 @@ for _n in TEXT:
 
 @query(
     "c_accent_fold",
-    "SELECT doc_id, md5(strip_accents(nfc_normalize(lower(text)))) AS folded FROM documents WHERE lang IN ('fr', 'es')",
+    "SELECT doc_id, md5(strip_accents(nfc_normalize(lower(text)))) AS folded FROM documents",
 )
 def c_accent_fold(spark, d):
-    docs = table(spark, d, "documents").where("lang IN ('fr', 'es')")
-    return docs.select("doc_id", F.md5(X.accent_fold(F.lower("text"))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.accent_fold(F.lower("text"))).alias("folded"))
 
 
 @query("c_nullify_outside_range", "SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN p_size END AS size_kept FROM part")
@@ -222,16 +221,16 @@ NORM_SQL = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 def _records(spark, d):
     norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), norm.alias("norm"), F.substring(norm, 1, 60).alias("head60"), "lang", "source")
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), norm.alias("norm"), F.array_join(F.array_sort(F.array_distinct(F.split(norm, " "))), " ").alias("bag"), "lang", "source")
 
 
-RECORDS = f"records AS (SELECT doc_id::VARCHAR AS record_id, {NORM_SQL} AS norm, substr({NORM_SQL}, 1, 60) AS head60, lang, source FROM documents)"
-KEYS = [M.MatchKey("text", ["norm"], 1), M.MatchKey("head", ["source", "head60"], 2, max_distinct=("lang", 1), max_group_size=20)]
+RECORDS = f"records AS (SELECT doc_id::VARCHAR AS record_id, {NORM_SQL} AS norm, array_to_string(list_sort(list_distinct(string_split({NORM_SQL}, ' '))), ' ') AS bag, lang, source FROM documents)"
+KEYS = [M.MatchKey("text", ["norm"], 1), M.MatchKey("bag", ["source", "bag"], 2, max_distinct=("lang", 1), max_group_size=3)]
 MEMBERS_SQL = f"""{RECORDS},
 g1 AS (SELECT norm, count(*) AS n, min(record_id) AS head FROM records WHERE norm <> '' GROUP BY norm HAVING count(*) >= 2),
-g2 AS (SELECT source, head60, count(*) AS n, min(record_id) AS head, count(DISTINCT lang) AS d FROM records WHERE head60 <> '' AND trim(source) <> '' GROUP BY ALL HAVING count(*) >= 2),
+g2 AS (SELECT source, bag, count(*) AS n, min(record_id) AS head, count(DISTINCT lang) AS d FROM records WHERE bag <> '' AND trim(source) <> '' GROUP BY ALL HAVING count(*) >= 2),
 mem AS (SELECT 'text' AS key_id, head, record_id, NULL AS guard FROM records JOIN g1 USING (norm)
-  UNION ALL SELECT 'head', head, record_id, CASE WHEN n > 20 THEN 'max_group_size:' || n || '>20' WHEN d > 1 THEN 'max_distinct:lang=' || d || '>1' END FROM records JOIN g2 USING (source, head60))"""
+  UNION ALL SELECT 'bag', head, record_id, CASE WHEN n > 3 THEN 'max_group_size:' || n || '>3' WHEN d > 1 THEN 'max_distinct:lang=' || d || '>1' END FROM records JOIN g2 USING (source, bag))"""
 CC_SQL = """e AS (SELECT DISTINCT head AS a, record_id AS b FROM mem WHERE guard IS NULL UNION SELECT record_id, head FROM mem WHERE guard IS NULL),
 reach AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 cc AS (SELECT node, least(min(other), node) AS component FROM reach GROUP BY node)"""
@@ -244,7 +243,7 @@ def FLAGSHIP(spark, d):
 @query(
     "m_exact_groups",
     f"""WITH RECURSIVE {MEMBERS_SQL}, {CC_SQL},
-ids AS (SELECT component, CASE WHEN bool_or(key_id = 'text') AND bool_or(key_id = 'head') THEN 'text|head' WHEN bool_or(key_id = 'text') THEN 'text' ELSE 'head' END AS key_ids FROM mem JOIN cc ON cc.node = mem.record_id WHERE guard IS NULL GROUP BY component)
+ids AS (SELECT component, CASE WHEN bool_or(key_id = 'text') AND bool_or(key_id = 'bag') THEN 'text|bag' WHEN bool_or(key_id = 'text') THEN 'text' ELSE 'bag' END AS key_ids FROM mem JOIN cc ON cc.node = mem.record_id WHERE guard IS NULL GROUP BY component)
 SELECT node AS record_id, 'X-' || component AS group_id, 'merged' AS status, key_ids, NULL::VARCHAR AS guard FROM cc JOIN ids USING (component)
 UNION ALL SELECT record_id, 'H-' || key_id || '-' || head, 'held', key_id, guard FROM mem WHERE guard IS NOT NULL""",
 )

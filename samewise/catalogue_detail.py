@@ -42,10 +42,10 @@ def d_edge_evaluation(spark, d):
     return out
 
 
-@query("r_cluster_detail", "SELECT o_custkey AS unit_id, o_orderkey AS record_id, count(*) OVER (PARTITION BY o_custkey) > 5 AS truncated FROM orders WHERE o_custkey % 10 = 3 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5")
+@query("r_cluster_detail", "SELECT o_custkey AS unit_id, o_orderkey AS record_id, count(*) OVER (PARTITION BY o_custkey) > 5 AS truncated FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5")
 def r_cluster_detail(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    o = table(spark, d, "orders").where("o_custkey % 10 = 3").withColumns({"r": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy("o_custkey")) > 5})
+    o = table(spark, d, "orders").withColumns({"r": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy("o_custkey")) > 5})
     return o.where("r <= 5").select(F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").alias("record_id"), "truncated")
 
 

@@ -11,12 +11,12 @@ from samewise.operators import training as T
 PROFILE = """op AS (SELECT o_custkey, round(o_totalprice / 5000) * 500 AS v, year(o_orderdate) AS y, o_orderpriority AS p FROM orders), ct AS (SELECT o_custkey, v, count(*) AS k FROM op GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k DESC, v DESC) AS r FROM ct),
 tp AS (SELECT o_custkey, max(v) FILTER (r = 1) AS modal_value, string_agg(v::BIGINT::VARCHAR, ' | ' ORDER BY r) AS top_values FROM rk WHERE r <= 5 GROUP BY 1),
 pf AS (SELECT o_custkey, count(v) AS n, median(v) AS median_value, avg(CASE WHEN v > 0 AND v % 1000 = 0 THEN 1.0 ELSE 0.0 END) AS share_round, quantile_cont(log10(v + 1), [0.1, 0.25, 0.5, 0.75, 0.9]) FILTER (v > 0) AS quantiles FROM op GROUP BY 1),
-un AS (SELECT *, count(*) OVER () AS every FROM pf JOIN tp USING (o_custkey) JOIN (SELECT o_custkey, min(y) AS first_year, max(y) AS last_year, list_sort(list_distinct(list(p))) AS parties FROM op WHERE v < 3000 GROUP BY 1) USING (o_custkey))"""
+un AS (SELECT *, count(*) OVER () AS every FROM pf JOIN tp USING (o_custkey) JOIN (SELECT o_custkey, min(y) AS first_year, max(y) AS last_year, list_sort(list_distinct(list(p))) AS parties FROM op GROUP BY 1) USING (o_custkey))"""
 
 
 def _profiles(spark, d):
     o = table(spark, d, "orders").select("o_custkey", (F.round(F.col("o_totalprice") / 5000) * 500).alias("v"), F.year("o_orderdate").alias("y"), "o_orderpriority")
-    own = o.where("v < 3000").groupBy("o_custkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " | ").alias("parties"))
+    own = o.groupBy("o_custkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " | ").alias("parties"))
     return X.amount_profile(o, "o_custkey", "v").join(own, "o_custkey")
 
 
@@ -80,12 +80,12 @@ def t_log_frequency(spark, d):
 
 @query(
     "t_co_controller",
-    """WITH h AS (SELECT DISTINCT l_suppkey AS u, l_orderkey AS c FROM lineitem WHERE l_partkey % 5 = 0), q AS (SELECT s_suppkey AS id_l, s_suppkey + 1 AS id_r FROM supplier), rc AS (SELECT DISTINCT a.u, b.u AS t FROM h a JOIN h b ON a.c = b.c AND a.u <> b.u)
+    """WITH h AS (SELECT DISTINCT l_suppkey AS u, l_orderkey AS c FROM lineitem), q AS (SELECT s_suppkey AS id_l, s_suppkey + 1 AS id_r FROM supplier), rc AS (SELECT DISTINCT a.u, b.u AS t FROM h a JOIN h b ON a.c = b.c AND a.u <> b.u)
 SELECT id_l, id_r, CASE WHEN EXISTS (SELECT 1 FROM rc a JOIN rc b ON a.t = b.t WHERE a.u = id_l AND b.u = id_r) THEN 1.0 ELSE 0.0 END::DOUBLE AS co FROM q""",
 )
 def t_co_controller(spark, d):
     pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id_l"), (F.col("s_suppkey") + 1).alias("id_r"))
-    return X.co_controlled(pairs, table(spark, d, "lineitem").where("l_partkey % 5 = 0"), "l_suppkey", "l_orderkey")
+    return X.co_controlled(pairs, table(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from samewise.catalogue import COMPARISONS, GAMMAS, MODEL, RULES, SUPPLIERS, _gammas, _pairs, _suppliers, query, table
 from samewise.functions import similarity as S
 from samewise.operators import blocking as B
+from samewise.functions import companies as C
 from samewise.operators import linking as L
 from samewise.operators import scoring as W
 
@@ -176,4 +177,4 @@ def j_merged_dataset(spark, d):
 @query("x_company_name", "SELECT p_partkey, upper(p_name) || ' PTY LTD CO' AS name, list_sort(list_distinct(string_split(upper(p_name), ' '))) AS core FROM part")
 def x_company_name(spark, d):
     raw = F.concat("p_name", F.lit(" (Holdings)  pty  limited company "))
-    return table(spark, d, "part").select("p_partkey", L.company_name(raw).alias("name"), L.core_tokens(L.company_name(raw)).alias("core"))
+    return table(spark, d, "part").select("p_partkey", C.company_name(raw).alias("name"), C.core_tokens(C.company_name(raw)).alias("core"))

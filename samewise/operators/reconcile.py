@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.functions.text import collapse_spaces
-
-# Legal forms and what they are written as, in order; words that don't tell companies apart.
-LEGAL_FORMS = [
-    (r"\bLIMITED\b", "LTD"),
-    (r"\bLIMTIED\b", "LTD"),
-    (r"\bINCORPORATED\b", "INC"),
-    (r"\bCORPORATION\b", "CORP"),
-    (r"\bSOCIEDAD ANONIMA\b", "SA"),
-    (r"\bS\.A\.\b", "SA"),
-    (r"\bS\.P\.A\b", "SPA"),
-    (r"\bSDN\s*BHD\b", "SDNBHD"),
-    (r"\bSDN\.BHD\.\b", "SDNBHD"),
-    (r"\bPTY\s*LTD\b", "PTY LTD"),
-    (r"\bCO\s*LTD\b", "CO LTD"),
-    (r"\bCOMPANY\b", "CO"),
-]
-NO_CORE = "LTD INC CORP CORPORATION SA SRL SPA BV SARL GMBH SDNBHD PTY CLG CO SPRL HOLDINGS HOLDING PROPERTIES PROPERTY INVESTMENTS INVESTMENT LIMITED INCORPORATED COMPANY SOCIEDAD ANONIMA".split()
-
-
-def normalise(name: Column) -> Column:
-    out = F.regexp_replace(F.upper(name), r"\s*\([^)]*\)\s*", " ")
-    for pattern, short in LEGAL_FORMS:
-        out = F.regexp_replace(out, pattern, short)
-    return collapse_spaces(out)
-
-
-def core(normal: Column) -> Column:
-    """The set of words that aren't legal forms."""
-    return F.array_except(F.filter(F.split(normal, " "), lambda w: w != ""), F.array(*[F.lit(w) for w in NO_CORE]))
+from samewise.functions.companies import company_name, core_tokens
 
 
 def verdicts(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """pairs with verdict (TRUE / FALSE), confidence and reason."""
-    rows = pairs.withColumns({"_l": normalise(F.col(left)), "_r": normalise(F.col(right))}).withColumns({"_a": core(F.col("_l")), "_b": core(F.col("_r"))})
+    rows = pairs.withColumns({"_l": company_name(F.col(left)), "_r": company_name(F.col(right))}).withColumns({"_a": core_tokens(F.col("_l")), "_b": core_tokens(F.col("_r"))})
     a, b, both = F.size("_a"), F.size("_b"), F.size(F.array_intersect("_a", "_b"))
     rules = [
         (F.col("_l") == F.col("_r"), "TRUE", "high", "Exact match after normalization"),

@@ -66,7 +66,7 @@ def f_person_name(spark, d):
 @query("f_postcode", "WITH c AS (SELECT p_partkey, 'sw' || (p_partkey % 10) || 'a-' || (p_size % 10) || 'xy' AS raw FROM part) SELECT p_partkey, upper(regexp_replace(raw, '-', ' ')) AS code, upper(string_split(raw, '-')[1]) AS district FROM c")
 def f_postcode(spark, d):
     raw = F.concat(F.lit("sw"), (F.col("p_partkey") % 10).cast("string"), F.lit("a-"), (F.col("p_size") % 10).cast("string"), F.lit("xy"))
-    return table(spark, d, "part").select("p_partkey", X.postcode(raw).alias("code"), X.postcode_district(raw).alias("district"))
+    return table(spark, d, "part").select("p_partkey", X.postcode(raw).alias("code"), X.postcode_district(X.postcode(raw)).alias("district"))
 
 
 @query("f_name_fingerprint", "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(upper(p_name), ' '))), '') AS value FROM part")

@@ -74,7 +74,7 @@ def person_name(c: Column) -> Column:
     given = words(F.when(comma, F.regexp_replace(c, r"^[^,]*,", "")).otherwise(F.array_join(F.slice(words(c), 1, F.greatest(F.size(words(c)) - 1, F.lit(0))), " ")))
     surname = F.when(comma, blank_to_null(trim(F.regexp_extract(c, r"^([^,]*),", 1)))).otherwise(last_token(c))
     fore = F.get(given, F.lit(0))
-    middle = blank_to_null(F.array_join(F.slice(given, 2, 1000), " "))
+    middle = blank_to_null(F.array_join(F.slice(given, F.lit(2), F.greatest(F.size(given), F.lit(1))), " "))
     return F.struct(fore.alias("forename"), middle.alias("middle_names"), surname.alias("surname"), F.substring(fore, 1, 1).alias("forename_initial"))
 
 
@@ -82,11 +82,12 @@ def postcode(c: Column) -> Column:
     """'OUT IN' of the shape letters-digits, or null."""
     s = F.upper(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
     spaced = F.concat(F.substring(s, F.lit(1), F.length(s) - 3), F.lit(" "), F.substring(s, F.length(s) - 2, F.lit(3)))
-    return F.when(F.length(s).between(5, 7) & spaced.rlike(r"^[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}$"), spaced)
+    return F.when(F.length(s).between(5, 7) & spaced.rlike(r"^[A-Z]{1,2}[0-9R][0-9A-Z]? [0-9][A-Z]{2}$"), spaced)
 
 
 def postcode_district(c: Column) -> Column:
-    return F.substring_index(postcode(c), " ", 1)
+    """The district before the first space, whatever follows it; null without one."""
+    return F.nullif(F.regexp_extract(F.upper(F.trim(c)), r"^([A-Z]{1,2}[0-9][A-Z0-9]?)\s", 1), F.lit(""))
 
 
 def company_number(c: Column) -> Column:

@@ -63,9 +63,10 @@ def histogram(rows: DataFrame, score: str, bins: int) -> DataFrame:
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """The score interval of a share, within 0 and 1; nothing seen leaves all of it open."""
     p, zz = hits / n, z * z
     centre, spread = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
-    return F.when(n > 0, centre - spread), F.when(n > 0, centre + spread)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - spread)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), centre + spread)).otherwise(1.0)
 
 
 def threshold_grid(rows: DataFrame, score: str, truth: str, steps: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from samewise.operators.conditions import when_all
 from samewise.operators.graph import connected_components
+from samewise.plans.materialize import save
 
 GROUPS = "record_id string, group_id string, status string, key_ids string, guard string"
 
@@ -96,7 +97,7 @@ def _corroborated(joined: DataFrame, key: MatchKey) -> DataFrame:
 
 def exact_groups(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "record_id") -> DataFrame:
     """(record_id, group_id, status, key_ids, guard): merged groups `X-<least id>` over all keys, held ones `H-<key>-<least id>`."""
-    members = key_members(records, keys, id_col).persist()
+    members = save(key_members(records, keys, id_col), "exact-members")
     passed = members.where("guard IS NULL")
     cc = connected_components(passed, "head", "record_id")
     order = {k.id: i for i, k in enumerate(keys)}
@@ -110,7 +111,7 @@ def exact_groups(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "re
 
 def units(records: DataFrame, groups: DataFrame, id_col: str = "record_id") -> DataFrame:
     """(record_id, unit_id): a merged group is one unit named by its least id, everybody else one alone."""
-    merged = groups.where("status = 'merged'").select("record_id", F.substring("group_id", 3, 1000).alias("unit"))
+    merged = groups.where("status = 'merged'").select("record_id", F.expr("substr(group_id, 3)").alias("unit"))
     return records.select(F.col(id_col).cast("string").alias("record_id")).join(merged, "record_id", "left").select("record_id", F.coalesce("unit", "record_id").alias("unit_id"))
 
 

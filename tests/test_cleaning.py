@@ -60,3 +60,31 @@ def test_faults_are_named_with_their_place():
         "vetoes": [{"action": "x", "when": [{"op": "y", "column": "b"}]}],
     }
     assert {p for p, _ in rules.validate(bad, ["a"])} == {"default_track", "cleaning.p[0].op", "cleaning.p[0].source", "cleaning.p[1].args.pattern", "match_keys[0].columns", "match_keys[1].id", "match_keys[1].columns", "vetoes[0].action", "vetoes[0].when[0].op"}
+
+
+def test_postcodes_as_the_rules_have_them(spark):
+    cases = [("GIR 0AA", "GIR 0AA", None), ("sw1a 1aa", "SW1A 1AA", "SW1A"), ("le1-1fb", "LE1 1FB", "LE1"), ("75008", None, None), (None, None, None), ("", None, None)]
+    df = spark.createDataFrame(cases, "raw string, code string, district string")
+    assert [(r.c, r.d) for r in df.select(X.postcode(F.col("raw")).alias("c"), X.postcode_district(X.postcode(F.col("raw"))).alias("d")).collect()] == [(c, d) for _, c, d in cases]
+    part = spark.createDataFrame([("SW1A whatever",), ("m1 ",), ("le1 x",)], "raw string").select(X.postcode_district(F.col("raw")).alias("d")).collect()
+    assert [r.d for r in part] == ["SW1A", None, "LE1"]
+
+
+def test_nothing_is_cut_at_a_thousand(spark):
+    name = "SMITH, " + " ".join(f"N{i}" for i in range(1500))
+    middle = spark.createDataFrame([(name,)], "n string").select(X.person_name(F.col("n"))["middle_names"].alias("m")).head().m
+    assert len(middle.split()) == 1499
+    from samewise.operators.exact import units
+
+    ids = ["a" * 1500 + "1", "a" * 1500 + "2"]
+    records = spark.createDataFrame([(i,) for i in ids], "record_id string")
+    groups = spark.createDataFrame([(i, f"X-{i}", "merged") for i in ids], "record_id string, group_id string, status string")
+    assert {r.unit_id for r in units(records, groups).collect()} == set(ids)
+
+
+def test_bounds_of_a_share(spark):
+    from samewise.operators.decisions import wilson
+
+    low, high = wilson(F.col("x"), F.col("n"))
+    got = spark.createDataFrame([(0, 0), (3, 3), (0, 5)], "x int, n int").select(low.alias("l"), high.alias("h")).collect()
+    assert (got[0].l, got[0].h) == (0.0, 1.0) and round(got[1].l, 2) == 0.44 and got[1].h == 1.0 and got[2].l == 0.0

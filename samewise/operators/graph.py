@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from samewise.plans.materialize import discard, save
@@ -21,8 +21,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     raw = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = raw.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    cur = save(raw.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "cc")
-    before = _digest(cur)
+    cur, before = _round(raw.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
     for _ in range(max_rounds):
         if before[0] == 0:
             break
@@ -35,9 +34,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(low2, "v").select(
             F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct(F.col("v").alias("v"), F.col("low").alias("m")))).alias("e")
         )
-        nxt = save(small.select("e.v", "e.m").where("v <> m").distinct(), "cc")
+        nxt, after = _round(small.select("e.v", "e.m").where("v <> m").distinct())
         discard(cur)
-        cur, after = nxt, _digest(nxt)
+        cur = nxt
         if after == before:
             break
         before = after
@@ -46,7 +45,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return nodes.join(cur.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
-def _digest(df: DataFrame) -> tuple:
-    """Row count and an order-free digest, to tell whether a round changed anything."""
-    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("h")).head()
-    return r["n"], r["h"]
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges written and read again; their number and an order-free digest, taken while writing, to tell whether a round changed anything."""
+    seen = Observation()
+    out = save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("h")), "cc")
+    return out, (seen.get["n"], seen.get["h"])

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made; on a cluster the setting must be there.
+    Only where the session names none and all runs in one process (tests, a
+    laptop) a temporary folder is made; on a cluster the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="samewise-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from samewise.operators import listing as I
+from samewise.operators import loading as N
 from samewise.functions import similarity as S
 from samewise.functions import text as X
 from samewise.operators import blocking as B
@@ -46,13 +48,13 @@ def long(c):
     "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL",
 )
 def s_json_projection(spark, d):
-    k = F.get_json_object("props", "$.k").alias("k")
-    return table(spark, d, "events").groupBy("event_type", k).agg(F.count("*").alias("n"))
+    rows = N.json_fields(table(spark, d, "events"), "props", {"k": "$.k"})
+    return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
 @query("s_projection_scan", "SELECT doc_id, source FROM documents WHERE lang = 'en'")
 def s_projection_scan(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source")
+    return N.projected(table(spark, d, "documents"), {"doc_id": F.col("doc_id"), "source": F.col("source")}, F.col("lang") == "en")
 
 
 @query(
@@ -60,8 +62,7 @@ def s_projection_scan(spark, d):
     "SELECT event_id, substr(sha256(concat_ws('|', user_id::VARCHAR, event_type, coalesce(props, ''))), 1, 16) AS record_key FROM events",
 )
 def l_stable_record_key(spark, d):
-    key = F.substring(F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.coalesce("props", F.lit(""))), 256), 1, 16)
-    return table(spark, d, "events").select("event_id", key.alias("record_key"))
+    return table(spark, d, "events").select("event_id", N.stable_key([F.col(x) for x in ("user_id", "event_type", "props")]).alias("record_key"))
 
 
 @query(
@@ -77,7 +78,7 @@ def l_modal_value(spark, d):
     "SELECT user_id, string_agg(DISTINCT event_type, ' | ' ORDER BY event_type) AS kinds FROM events GROUP BY user_id",
 )
 def l_distinct_join(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), " | ").alias("kinds"))
+    return N.distinct_join(table(spark, d, "events"), "user_id", {"kinds": "event_type"})
 
 
 @query(
@@ -96,8 +97,7 @@ def l_amount_profile(spark, d):
 
 @query("l_year_range", "SELECT o_custkey, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year, count(*) AS n FROM orders GROUP BY o_custkey")
 def l_year_range(spark, d):
-    y = long(F.year("o_orderdate"))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(y).alias("first_year"), F.max(y).alias("last_year"), F.count("*").alias("n"))
+    return N.year_range(table(spark, d, "orders"), "o_custkey", "o_orderdate")
 
 
 # ------------------------------------------------------------ cleaning and functions
@@ -417,7 +417,7 @@ def v_vetoes(spark, d):
 @query("v_pair_counts", f"WITH {SCORED} SELECT count(*) FILTER (match_probability >= 0.5) AS accepted, count(*) FILTER (match_probability >= 0.1 AND match_probability < 0.5) AS review, count(*) AS total FROM sc")
 def v_pair_counts(spark, d):
     p = F.col("match_probability")
-    return _scored(spark, d).agg(F.count_if(p >= 0.5).alias("accepted"), F.count_if((p >= 0.1) & (p < 0.5)).alias("review"), F.count("*").alias("total"))
+    return I.facets(_scored(spark, d), {"accepted": p >= 0.5, "review": (p >= 0.1) & (p < 0.5)})
 
 
 @query("h_latest_label", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -518,20 +518,18 @@ def t_amount_quantiles(spark, d):
 
 @query("r_records_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 100")
 def r_records_page(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").offset(100).limit(50)
+    return I.page(table(spark, d, "customer"), [F.desc_nulls_last("c_acctbal"), "c_custkey"], 100, 50, columns=["c_custkey", "c_acctbal"])
 
 
 @query("r_facet_counts", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_totalprice > 100000) AS large, count(DISTINCT o_custkey) AS customers FROM orders")
 def r_facet_counts(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 100000).alias("large"), F.count_distinct("o_custkey").alias("customers"))
+    tests = {"finished": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 100000}
+    return I.facets(table(spark, d, "orders"), tests, {"customers": "o_custkey"})
 
 
 @query("r_unit_events", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 200")
 def r_unit_events(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", "ts").withColumn("r", F.row_number().over(w)).where("r <= 200").drop("r")
+    return N.event_projection(table(spark, d, "events"), "user_id", {"ts": F.col("ts")}, "ts", "event_id", 200).drop("position")
 
 
 @query("j_link_only_exact", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100)")
@@ -657,4 +655,4 @@ def r_usefulness(spark, d):
 
 @query("r_cluster_queue", f"WITH RECURSIVE {CLUSTERS} SELECT cluster_id, count(*) AS n_units, min(unit_id) AS representative FROM mem GROUP BY cluster_id HAVING count(*) >= 2")
 def r_cluster_queue(spark, d):
-    return _clusters(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n_units"), F.min("unit_id").alias("representative")).where("n_units >= 2")
+    return I.queue(_clusters(spark, d), "cluster_id", "unit_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from samewise.sources import exports as K
+from samewise.operators import loading as N
 from samewise.catalogue import query, table
 from samewise.functions import text as X
 from samewise.operators import conditions as P
@@ -14,7 +16,7 @@ from samewise.operators import conditions as P
 
 @query("l_drop_flags", "SELECT count(*) AS total, count(*) FILTER (event_type LIKE 'c%') AS dropped_kind, count(*) FILTER (props IS NULL OR trim(props) = '') AS dropped_blank FROM events")
 def l_drop_flags(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("total"), F.count_if(F.col("event_type").startswith("c")).alias("dropped_kind"), F.count_if(X.blank_to_null(F.col("props")).isNull()).alias("dropped_blank"))
+    return N.drop_counts(table(spark, d, "events"), {"kind": F.col("event_type").startswith("c"), "blank": X.blank_to_null(F.col("props")).isNull()})
 
 
 @query("l_id_text", "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN p_partkey || '.5' ELSE p_partkey::VARCHAR END AS id FROM part")
@@ -27,16 +29,14 @@ def l_id_text(spark, d):
 
 @query("l_namespaced_id", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'TR' ELSE '' END || c_custkey AS record_id FROM customer")
 def l_namespaced_id(spark, d):
-    k = X.id_text(F.col("c_custkey"))
-    trust = F.lower(X.trim(F.col("c_mktsegment"))) == "building"
-    return table(spark, d, "customer").select("c_custkey", F.when(trust, F.concat(F.lit("TR"), k)).otherwise(k).alias("record_id")).where("record_id NOT IN ('', 'TR')")
+    return table(spark, d, "customer").select("c_custkey", N.namespaced_id(F.col("c_custkey"), F.col("c_mktsegment"), {"building": "TR"}).alias("record_id")).where("record_id IS NOT NULL")
 
 
 @query("l_review_state", "SELECT o_orderkey, CASE WHEN o_custkey % 10 IN (0, 1) THEN 'unlabelled' ELSE 'labelled' END AS review_state FROM orders")
 def l_review_state(spark, d):
     k = F.col("o_custkey") % 10
     earlier = F.when(k == 0, "0.0").when(k == 1, "TR0").otherwise(k.cast("string"))
-    return table(spark, d, "orders").select("o_orderkey", F.when(F.upper(X.id_text(earlier)).isin("", "0", "TR0"), "unlabelled").otherwise("labelled").alias("review_state"))
+    return table(spark, d, "orders").select("o_orderkey", N.review_state(earlier).alias("review_state"))
 
 
 @query("l_truthiness", "SELECT p_partkey, p_size % 4 < 2 AS flag FROM part")
@@ -47,13 +47,12 @@ def l_truthiness(spark, d):
 
 @query("l_event_projection", "SELECT user_id, event_id, ts::DATE AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS position FROM events")
 def l_event_projection(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("ts"), "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", F.to_date("ts").alias("day"), F.row_number().over(w).alias("position"))
+    return N.event_projection(table(spark, d, "events"), "user_id", {"day": F.to_date("ts")}, "ts", "event_id")
 
 
 @query("l_duplicate_ids", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 3")
 def l_duplicate_ids(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 1").orderBy("l_orderkey").limit(3)
+    return N.repeated_ids(table(spark, d, "lineitem"), "l_orderkey")
 
 
 # ------------------------------------------------------------ functions and steps
@@ -164,13 +163,11 @@ def p_key_filter(spark, d):
     "SELECT c_custkey AS k, 1 AS part, '{\"index\":{\"_id\":\"' || c_custkey || '\"}}' AS line FROM customer WHERE c_nationkey > 4 UNION ALL SELECT c_custkey, 2, '{\"record_id\":\"' || c_custkey || '\",\"entity_id\":\"E' || c_nationkey || '\"}' FROM customer WHERE c_nationkey > 4",
 )
 def k_bulk_lines(spark, d):
-    k = F.col("c_custkey").cast("string")
     entity = F.when(F.col("c_nationkey") > 4, F.concat(F.lit("E"), F.col("c_nationkey").cast("string")))
-    two = F.array(F.struct(F.lit(1).alias("part"), F.to_json(F.struct(F.struct(k.alias("_id")).alias("index"))).alias("line")), F.struct(F.lit(2).alias("part"), F.to_json(F.struct(k.alias("record_id"), entity.alias("entity_id"))).alias("line")))
-    return table(spark, d, "customer").where(entity.isNotNull()).select(F.col("c_custkey").alias("k"), F.explode(two).alias("x")).select("k", "x.*")
+    return K.bulk_lines(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), entity.alias("e")), "k", "e")
 
 
 @query("k_export_rows", "SELECT c_custkey, c_name, c_mktsegment, 'E' || s_nationkey AS entity_id, CASE WHEN s_nationkey IS NULL THEN 'none' ELSE 'matched' END AS basis FROM customer LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON s_nationkey = c_nationkey")
 def k_export_rows(spark, d):
-    e = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.concat(F.lit("E"), F.col("s_nationkey").cast("string")).alias("entity_id")).distinct()
-    return table(spark, d, "customer").join(e, "c_nationkey", "left").select("c_custkey", "c_name", "c_mktsegment", "entity_id", F.when(F.col("entity_id").isNull(), "none").otherwise("matched").alias("basis"))
+    e = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.concat(F.lit("E"), F.col("s_nationkey").cast("string")).alias("entity_id"))
+    return K.with_entities(table(spark, d, "customer"), e, "c_nationkey").select("c_custkey", "c_name", "c_mktsegment", "entity_id", "basis")

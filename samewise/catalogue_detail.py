@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from samewise.operators import listing as I
 from samewise.catalogue import EDGES, _edges, query, table
 from samewise.operators import decisions as D
 from samewise.operators import exact as M
@@ -44,25 +45,23 @@ def d_edge_evaluation(spark, d):
 
 @query("r_cluster_detail", "SELECT o_custkey AS unit_id, o_orderkey AS record_id, count(*) OVER (PARTITION BY o_custkey) > 5 AS truncated FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5")
 def r_cluster_detail(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    o = table(spark, d, "orders").withColumns({"r": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy("o_custkey")) > 5})
-    return o.where("r <= 5").select(F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").alias("record_id"), "truncated")
+    o = table(spark, d, "orders").withColumnsRenamed({"o_custkey": "unit_id", "o_orderkey": "record_id"})
+    return I.detail(o, "unit_id", [F.desc("o_orderdate"), "record_id"], 5).select("unit_id", "record_id", "truncated")
 
 
 @query("r_representatives", "SELECT o_custkey AS unit_id, min(o_orderkey) AS representative, count(*) AS n_records, max(o_orderdate)::DATE AS latest FROM orders GROUP BY 1")
 def r_representatives(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.min("o_orderkey").alias("representative"), F.count("*").alias("n_records"), F.to_date(F.max("o_orderdate")).alias("latest"))
+    return I.representatives(table(spark, d, "orders").withColumnRenamed("o_custkey", "unit_id"), "unit_id", "o_orderkey", "o_orderdate")
 
 
 @query("r_labels_by_decision", "SELECT coalesce(CASE WHEN l_linenumber > 2 THEN 'd' || l_orderkey END, 'label:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS decision, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS n_true FROM lineitem GROUP BY 1")
 def r_labels_by_decision(spark, d):
     t = lambda c: F.col(c).cast("string")
-    key = F.coalesce(F.when(F.col("l_linenumber") > 2, F.concat(F.lit("d"), t("l_orderkey"))), F.concat(F.lit("label:"), F.concat_ws("-", t("l_orderkey"), t("l_linenumber"), t("l_partkey"))))
-    return table(spark, d, "lineitem").groupBy(key.alias("decision")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_true"))
+    own = F.concat_ws("-", t("l_orderkey"), t("l_linenumber"), t("l_partkey"))
+    decision = F.when(F.col("l_linenumber") > 2, F.concat(F.lit("d"), t("l_orderkey")))
+    return I.by_decision(table(spark, d, "lineitem"), decision, own, F.col("l_returnflag") == "R")
 
 
 @query("r_exact_groups_list", "SELECT c_nationkey AS group_id, count(*) AS n_records, count(DISTINCT c_mktsegment) AS n_labels, CASE WHEN count(DISTINCT c_mktsegment) > 4 THEN 'conflict' ELSE 'consistent' END AS agreement FROM customer GROUP BY 1 HAVING count(*) >= 2")
 def r_exact_groups_list(spark, d):
-    n = F.col("n_labels")
-    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("group_id")).agg(F.count("*").alias("n_records"), F.count_distinct("c_mktsegment").alias("n_labels")).where("n_records >= 2")
-    return g.withColumn("agreement", F.when(n > 4, "conflict").otherwise("consistent"))
+    return I.group_list(table(spark, d, "customer").withColumnRenamed("c_nationkey", "group_id"), "group_id", "c_mktsegment", 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from samewise.operators import listing as I
 from samewise.catalogue import EDGES, _edges, query, table
 from samewise.operators import clusters as G
 from samewise.operators import entities as E
@@ -50,7 +51,7 @@ def g_full_gate(spark, d):
 
 @query("g_cluster_counts", f"WITH {GATE} SELECT CASE WHEN statuses = '' THEN 'ok' ELSE string_split(statuses, '|')[1] END AS status, count(*) AS n, sum(n_units)::BIGINT AS units FROM gt GROUP BY 1")
 def g_cluster_counts(spark, d):
-    return _full_gate(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.sum("n_units").alias("units"))
+    return I.by_kind(_full_gate(spark, d), "status", {"units": "n_units"})
 
 
 REBUILT = f"""{EDGE_TABLE}, mw AS (SELECT s_suppkey::VARCHAR AS unit_id, 'C-' || (s_nationkey // 5) AS cluster_id, (s_nationkey // 5) % 2 = 0 AS withheld FROM supplier),
@@ -80,7 +81,7 @@ def g_part_source(spark, d):
 
 @query("g_held_queue", "SELECT o_custkey AS group_id, min(o_orderstatus) AS track, count(*) AS n_records FROM orders GROUP BY 1 HAVING count(*) > 15")
 def g_held_queue(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("group_id")).agg(F.min("o_orderstatus").alias("track"), F.count("*").alias("n_records")).where("n_records > 15")
+    return I.held_queue(table(spark, d, "orders").withColumnRenamed("o_custkey", "group_id"), "group_id", "o_orderstatus", 15)
 
 
 # ------------------------------------------------------------ entities
@@ -205,10 +206,10 @@ def m_human_split(spark, d):
 
 @query("r_entities_list", "SELECT c_nationkey AS entity_id, count(*) AS n_records, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS segments, max(c_acctbal) AS largest FROM customer GROUP BY 1 ORDER BY n_records DESC, entity_id LIMIT 10")
 def r_entities_list(spark, d):
-    per = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("entity_id")).agg(F.count("*").alias("n_records"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), " | ").alias("segments"), F.max("c_acctbal").alias("largest"))
-    return per.orderBy(F.desc("n_records"), "entity_id").limit(10)
+    per = I.entities(table(spark, d, "customer").withColumnRenamed("c_nationkey", "entity_id"), "entity_id", {"segments": "c_mktsegment"}, "c_acctbal")
+    return I.page(per, [F.desc("n_records"), "entity_id"], 0, 10)
 
 
 @query("e_override_latest", "SELECT user_id, max_by(event_type, event_id) AS value, max(event_id) AS override_id, count(*) - 1 AS superseded FROM events GROUP BY 1")
 def e_override_latest(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("value"), F.max("event_id").alias("override_id"), (F.count("*") - 1).alias("superseded"))
+    return I.latest_override(table(spark, d, "events"), "user_id", "event_type", "event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from samewise.operators import listing as I
 from samewise.catalogue import COMPARISONS, GAMMAS, MODEL, RULES, SUPPLIERS, _gammas, _pairs, _suppliers, query, table
 from samewise.functions import similarity as S
 from samewise.operators import blocking as B
@@ -98,7 +99,7 @@ def w_random_u(spark, d):
 
 @query("w_route_counts", f"WITH {GAMMAS} SELECT match_key::BIGINT AS match_key, count(*) AS n FROM p GROUP BY 1")
 def w_route_counts(spark, d):
-    return _pairs(spark, d).groupBy("match_key").agg(F.count("*").alias("n"))
+    return I.by_kind(_pairs(spark, d), "match_key")
 
 
 @query(

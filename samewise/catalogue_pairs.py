@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from samewise.operators import loading as N
+from samewise.operators import listing as I
 from samewise.catalogue import PAIRS, SCORED, _pairs, _scored, query, table
 from samewise.functions import similarity as S
 from samewise.operators import decisions as D
@@ -96,8 +98,7 @@ def v_priority_total(spark, d):
 )
 def v_track_union(spark, d):
     rows = _in_context(spark, d, ["track"]).where("track_l = track_r")
-    parts = [rows.where(F.col("track_l") == t).select("id_l", "id_r", F.col("track_l").alias("track"), F.col("match_probability").alias(f"{t}_score")) for t in ("person", "organisation")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return I.union_tracks({t: rows.where(F.col("track_l") == t).select("id_l", "id_r", F.col("match_probability").alias(f"{t}_score")) for t in ("person", "organisation")})
 
 
 @query("v_agreement", f"WITH {CONTEXT} SELECT id_l, id_r, CASE WHEN ex_l = ex_r THEN 'agrees' WHEN ex_l <> ex_r THEN 'disagrees' ELSE 'unknown' END AS agreement FROM cx")
@@ -166,7 +167,7 @@ def h_test_set(spark, d):
 
 @query("h_library_counts", f"WITH {LABELS} SELECT count(*) AS total, count(*) FILTER (same) AS n_true, count(*) FILTER (NOT same) AS n_false, count(DISTINCT record_a) AS records FROM lb")
 def h_library_counts(spark, d):
-    return _labels(spark, d).agg(F.count("*").alias("total"), F.count_if("same").alias("n_true"), F.count_if(~F.col("same")).alias("n_false"), F.count_distinct("record_a").alias("records"))
+    return I.library_counts(_labels(spark, d))
 
 
 @query(
@@ -194,12 +195,12 @@ def u_never_scored(spark, d):
 
 @query("u_priority_sum", "SELECT o_custkey, round(sum(o_totalprice::DECIMAL(38, 4))::DOUBLE, 2) AS priority FROM orders GROUP BY o_custkey")
 def u_priority_sum(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(28,4)")).cast("double"), 2).alias("priority"))
+    return N.unit_sum(table(spark, d, "orders"), "o_custkey", "o_totalprice")
 
 
 @query("u_unit_counts", f"WITH {UNITS} SELECT coalesce(track, 'all') AS track, count(*) AS n FROM un GROUP BY ROLLUP (track)")
 def u_unit_counts(spark, d):
-    return _units(spark, d).rollup("track").agg(F.count("*").alias("n")).select(F.coalesce("track", F.lit("all")).alias("track"), "n")
+    return I.by_kind(_units(spark, d), "track", total="all")
 
 
 @query("r_usefulness_weighed", f"WITH {CONTEXT}, t AS (SELECT *, amount_l + amount_r AS total, 1 - match_probability AS model FROM cx), m AS (SELECT max(total) AS top FROM t) SELECT id_l, id_r, round((0.5 * (1 - abs(2 * model - 1)) + 0.5 * abs(model - match_probability)) * (0.5 + 0.5 * least(greatest(CASE WHEN top > 0 THEN ln(1 + greatest(total, 0)) / ln(1 + top) ELSE 1 END, 0), 1)), 6) AS useful FROM t, m")
@@ -212,8 +213,9 @@ def r_usefulness_weighed(spark, d):
 
 @query("r_pairs_page", f"WITH {CONTEXT} SELECT id_l, id_r, match_probability FROM cx WHERE track_l = 'person' AND match_probability BETWEEN 0.001 AND 0.9 ORDER BY match_probability DESC NULLS LAST, id_l, id_r LIMIT 20 OFFSET 5")
 def r_pairs_page(spark, d):
-    rows = _in_context(spark, d, ["track"]).where("track_l = 'person' AND match_probability BETWEEN 0.001 AND 0.9")
-    return rows.select("id_l", "id_r", "match_probability").orderBy(F.desc_nulls_last("match_probability"), "id_l", "id_r").offset(5).limit(20)
+    p = F.col("match_probability")
+    rows = _in_context(spark, d, ["track"])
+    return I.page(rows, [F.desc_nulls_last("match_probability"), "id_l", "id_r"], 5, 20, (F.col("track_l") == "person") & p.between(0.001, 0.9), ["id_l", "id_r", "match_probability"])
 
 
 @query("d_bucket_histogram", f"WITH {SCORED} SELECT CASE WHEN match_probability >= 0.5 THEN 'accept' WHEN match_probability >= 0.1 THEN 'review' ELSE 'reject' END AS bucket, least(floor(match_probability * 50), 49)::BIGINT AS bin, count(*) AS n FROM sc GROUP BY ALL")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.operators.graph import connected_components
@@ -54,3 +56,20 @@ def mint(entities: DataFrame, key: str, prefix: str = "E") -> DataFrame:
     before = part.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.col("base") + F.col("at") - F.col("first") + 1
     return part.join(F.broadcast(before), "part").select(key, F.concat(F.lit(prefix), F.lpad(number.cast("string"), 8, "0")).alias("entity_id"))
+
+
+def unit_profile(members: DataFrame, unit: str, aggregates: Mapping[str, Column], allowed: Sequence[str]) -> DataFrame:
+    """(unit, <name>...): columns of a unit that a vote among its records would get wrong, by aggregates that a profile names.
+
+    Only columns that records carry (`allowed`) may be made. Aggregates combine
+    before the shuffle, so a unit of any size is never gathered.
+    """
+    foreign = sorted(set(aggregates) - set(allowed))
+    if foreign:
+        raise ValueError(f"records have no column {', '.join(foreign)}")
+    return members.groupBy(unit).agg(*[a.alias(name) for name, a in aggregates.items()])
+
+
+def controller_profile(members: DataFrame, unit: str, company: str, name: str = "n_companies") -> DataFrame:
+    """(unit, n_companies): on how many companies a controller stands."""
+    return unit_profile(members, unit, {name: F.count_distinct(company)}, [name])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samewise.operators.decisions import pair_figures, ratio
 from samewise.operators.graph import connected_components
 
 #: How strong a reason for a merge is; fixed values.
@@ -214,3 +215,30 @@ def dissolve(groups: DataFrame, labels: DataFrame) -> DataFrame:
     out = groups.join(split, "group_id", "left").join(cc, "record_id", "left")
     fresh = F.when(F.col("component").isNotNull(), F.concat(F.lit("X-"), "component"))
     return out.select("record_id", F.when(F.col("split"), fresh).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("split", F.lit(False)).alias("split"))
+
+
+def against_earlier(members: DataFrame, record: str = "record_id", entity: str = "entity_id", earlier: str = "existing_id") -> DataFrame:
+    """(entity, n_records, n_earlier, verdict): how each entity stands to the earlier ids of its records.
+
+    identical: the records of just one earlier id, all of them; grown: those and
+    new ones; divided: only some records of one; joined: records of several;
+    new: of none. By counts of (entity, earlier id), no member list is gathered.
+    """
+    both = members.groupBy(entity, earlier).agg(F.count_distinct(record).alias("n"))
+    whole = both.where(F.col(earlier).isNotNull()).groupBy(earlier).agg(F.sum("n").alias("of"))
+    per = both.join(whole, earlier, "left").groupBy(entity).agg(
+        F.sum("n").alias("n_records"), F.count(earlier).alias("n_earlier"), F.sum(F.when(F.col(earlier).isNull(), F.col("n")).otherwise(0)).alias("fresh"), F.bool_and(F.coalesce(F.col("n") == F.col("of"), F.lit(True))).alias("all_of")
+    )
+    ids = F.col("n_earlier")
+    verdict = F.when(ids == 0, "new").when(ids > 1, "joined").when(~F.col("all_of"), "divided").when(F.col("fresh") > 0, "grown").otherwise("identical")
+    return per.select(entity, "n_records", "n_earlier", verdict.alias("verdict"))
+
+
+def entity_figures(members: DataFrame, record: str = "record_id", entity: str = "entity_id", earlier: str = "existing_id") -> DataFrame:
+    """One row: pairs and precision and recall of entities against earlier ids, entities by verdict and the share that is identical."""
+    figures = pair_figures(members, entity, earlier)
+    verdicts = against_earlier(members, record, entity, earlier)
+    names = ("identical", "grown", "divided", "joined", "new")
+    counts = verdicts.agg(F.count("*").alias("entities"), *[F.count_if(F.col("verdict") == v).alias(v) for v in names])
+    known = F.col("entities") - F.col("new")
+    return figures.crossJoin(counts).withColumn("identical_share", ratio(F.col("identical"), known))  # one row each

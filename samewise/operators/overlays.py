@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.functions.text import key_text
-from samewise.operators.decisions import bucket
+from samewise.operators.decisions import apply_vetoes, bucket
 
 
 def track_bucket(p: Column, track: Column, review: float, accept: float, accept_by_track: Mapping[str, float]) -> Column:
@@ -47,6 +47,23 @@ def import_overlay(pairs: DataFrame, existing: str = "existing_id") -> DataFrame
     )
 
 
+LAID = ["bucket", "decided_by", "veto", "veto_id", "import_disagrees", "veto_conflicts_import"]
+
+
+def rebucket(pairs: DataFrame, review: float, accept: float, vetoes: Sequence[tuple[str, Column, str]] = (), score: str = "match_probability", model: str | None = None, existing: str | None = None) -> DataFrame:
+    """pairs with all that was laid over their scores made anew under other lines and vetoes; nothing is scored again.
+
+    Stored scores, a stored model's too, come first; then vetoes; then earlier
+    ids, where `existing` names their columns.
+    """
+    out = pairs.drop(*[c for c in LAID if c in pairs.columns]).withColumn("bucket", bucket(F.col(score), review, accept))
+    out = model_bucket(out, model, review, accept) if model else out.withColumn("decided_by", F.lit("score"))
+    out = apply_vetoes(out, vetoes)
+    if existing:
+        return import_overlay(out, existing)
+    return out.withColumn("decided_by", F.when(F.col("veto_id").isNotNull(), "veto").otherwise(F.col("decided_by")))
+
+
 def held_tag(pairs: DataFrame, held: str = "held_group_id") -> DataFrame:
     """The held group that both sides stand in, or null."""
     l, r = F.col(f"{held}_l"), F.col(f"{held}_r")

@@ -78,6 +78,21 @@ def separation(rows: DataFrame, score: str, truth: str, universe: DataFrame, pur
     return u.groupBy("accept", "reject").agg(F.count_if(F.col("u") >= F.col("accept")).alias("n_accept"), F.count_if(F.col("u") < F.col("reject")).alias("n_reject"), F.count("*").alias("n"))
 
 
+def conformal_lines(rows: DataFrame, key: str, score: str, truth: str, target: float) -> DataFrame:
+    """One row (accept, reject, n_accept, accept_error, n_reject, reject_error): lines picked on one half of the labels by Wilson bounds, errors that they make on the other.
+
+    The halves are told by a hash of the key, so they are the same whatever the partitions.
+    """
+    half = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 2
+    line = lines(rows.where(half == 0), score, truth, target)
+    s, y = F.col(score), F.col(truth).cast("boolean")
+    above, under = s >= F.col("accept"), s < F.col("reject")
+    held = rows.where(half == 1).crossJoin(F.broadcast(line))  # one row
+    got = held.groupBy("accept", "reject").agg(F.count_if(above).alias("n_accept"), F.count_if(above & ~y).alias("ea"), F.count_if(under).alias("n_reject"), F.count_if(under & y).alias("er"))
+    safe = lambda a, b: F.when(b > 0, F.round(a / b, 6))
+    return got.select("accept", "reject", "n_accept", safe(F.col("ea"), F.col("n_accept")).alias("accept_error"), "n_reject", safe(F.col("er"), F.col("n_reject")).alias("reject_error"))
+
+
 def average_precision(rows: DataFrame, score: str, truth: str) -> DataFrame:
     """(average_precision): precision at each distinct score weighed by the recall it adds; null without a match."""
     c = by_score(rows, score, truth)

@@ -49,6 +49,8 @@ def key_members(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "rec
     gathered.
     """
     keys = sorted(keys, key=lambda k: k.tier)
+    if not keys:
+        return records.sparkSession.createDataFrame([], "key_id string, head string, record_id string, guard string")
     out, earlier = None, {}
     for key in keys:
         before = [c for t, c in earlier.items() if t < key.tier]
@@ -101,7 +103,7 @@ def exact_groups(records: DataFrame, keys: Sequence[MatchKey], id_col: str = "re
     passed = members.where("guard IS NULL")
     cc = connected_components(passed, "head", "record_id")
     order = {k.id: i for i, k in enumerate(keys)}
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    rank = F.create_map(*[F.lit(x) for kv in (order or {"": 0}).items() for x in kv])
     per_key = passed.withColumn("o", F.element_at(rank, F.col("key_id")))
     ids = per_key.join(cc.withColumnRenamed("node", "record_id"), "record_id").groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("o", "key_id"))), lambda s: s["key_id"]), "|").alias("key_ids"))
     merged = cc.join(ids, "component").select(F.col("node").alias("record_id"), F.concat(F.lit("X-"), "component").alias("group_id"), F.lit("merged").alias("status"), "key_ids", F.lit(None).cast("string").alias("guard"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.columns import documents, fresh, pick
 from samewise.llm.meeting import forests, spanning_links
-from samewise.llm.sieve import sifted
+from samewise.llm.sieve import parted, sifted
 from samewise.operators.graph import connected_components
 from samewise.plans.materialize import discard, save, shuffle_partitions
 
@@ -453,8 +453,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = save(near_copy_classes(docs, id_col, text_col, cell), "simhash-classes")
     key = F.col(f"`{id_col}`")
     kid = fresh(docs, "kept_id")
-    keep = classes.where("id IS NOT NULL AND id = component").select(F.col("id").alias(kid)).distinct()
-    out = docs.where(key.isNotNull()).join(keep, key == F.col(kid), "left_semi")
+    by_id = classes.where("id IS NOT NULL").groupBy(F.col("id").alias(kid)).agg(F.bool_or(F.col("id") == F.col("component")).alias("stays"))
+    gone = save(by_id.where("NOT stays").select(kid), "simhash-gone")
+    # copies are found by a join; what is certainly none is not shuffled
+    maybe, sure = parted(docs.where(key.isNotNull()), F.xxhash64(key), gone.select(F.xxhash64(kid).alias("h")), SIEVE_BITS)
+    out = sure.unionByName(maybe.hint("merge").join(gone, key == F.col(kid), "left_anti"))
     if not classes.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
         # rows of the same hash are equal, so it doesn't matter which of them stays
         h, least_id, least = (fresh(docs, c) for c in ("row_hash", "least_id", "least_hash"))

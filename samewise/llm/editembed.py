@@ -28,8 +28,10 @@ SAMPLES = 256  # of a walk, about; a step in 2**k is kept, with the least k that
 PERIOD = 8192  # steps after which the walk's bits come again
 BLOCK = 4 << 20  # characters embedded at once
 FEW = 12  # texts that are walked one by one
-LEAST = 0.8  # likeness from which on two texts are near copies
-BANDS, BAND = 12, 6  # sampled positions of a band at most; at a likeness of 0.8 all bands of a range miss with (1 - 0.8125 ** 6) ** 12, or 17 in 1,000
+LEAST = 0.9  # likeness from which on two texts are near copies
+#: Sampled positions of a band at most. Letters are few and uneven, so a sample agrees by chance in one of ten pairs
+#: and a band of 12 in one of 10 ** 12; at a likeness of 0.9 all bands of a range miss with (1 - 0.906 ** 12) ** 12, or 13 in 1,000.
+BANDS, BAND = 12, 12
 MISS = 0.02  # lesser likenesses have shorter bands, so that no more pairs are missed
 RANGES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192)  # first samples from which the positions of a band are drawn
 CELL = 2048  # fingerprints that are held against each other at once

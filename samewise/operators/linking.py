@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.functions.text import collapse_spaces
@@ -36,13 +36,57 @@ def link_pairs(left: DataFrame, right: DataFrame, category: str = "category", co
     return l.join(r, cat).unionByName(by_core).select("id_l", "id_r")
 
 
+def linked_classes(left: DataFrame, right: DataFrame, key: Callable[[Column], Column], category: str = "category", core: str = "core") -> tuple[DataFrame, DataFrame]:
+    """The pairs of link_pairs() between classes of rows: (id_l, class) for every left row, and (class, id_l, id_r, n).
+
+    Rows of one category, core name and key(id) are a class; id_l and id_r are
+    the smallest ids of two classes that meet, n the rows of the right one. So
+    rows are made for classes that meet, however many pairs stand behind them.
+    """
+    side = lambda d, s: d.select("id", F.col(category).alias(f"category_{s}"), F.col(core).alias(f"core_{s}"), key(F.col("id")).alias(f"key_{s}"))
+    of = F.struct("category_l", "core_l", "key_l").alias("class")
+    ids, rows = side(left, "l"), side(right, "r")
+    l = ids.groupBy("category_l", "core_l", "key_l").agg(F.min("id").alias("id_l"))
+    r = rows.groupBy("category_r", "core_r", "key_r").agg(F.min("id").alias("id_r"), F.count("*").alias("n"))
+    whole = r.groupBy("category_r", "key_r").agg(F.min("id_r").alias("id_r"), F.sum("n").alias("n"))
+    cat = (F.col("category_l") == F.col("category_r")) & (F.col("category_l") != UNKNOWN)
+    by_core = l.join(r, (F.col("core_l") == F.col("core_r")) & (F.col("core_l") != "")).where(~F.coalesce(cat, F.lit(False)))
+    met = l.join(whole, cat).select(of, "id_l", "id_r", "n").unionByName(by_core.select(of, "id_l", "id_r", "n"))
+    return ids.select(F.col("id").alias("id_l"), of), met
+
+
+def _best(rows: DataFrame, group: str) -> DataFrame:
+    """The best of each group's rows (id_r, p, m, n, n_high), m rows of a score in one: with the p that comes next, and n and n_high of the whole group."""
+    w, every = Window.partitionBy(group).orderBy(F.desc("p"), "id_r"), Window.partitionBy(group)
+    after = F.when(F.col("m") > 1, F.col("p")).otherwise(F.lead("p").over(w))
+    return rows.withColumns({"r": F.row_number().over(w), "next": after, "n": F.sum("n").over(every), "n_high": F.sum("n_high").over(every)}).where("r = 1")
+
+
+def _bucketed(best: DataFrame, high: float, review: float, gap: float) -> DataFrame:
+    near = (F.col("n_high") > 1) & (F.col("p") - F.col("next") < gap)
+    return best.select("id_l", "id_r", "p", F.when(F.col("p") >= high, "high").when(F.col("p") >= review, "review").otherwise("low").alias("bucket"), F.col("n").alias("n_candidates"), F.coalesce(near, F.lit(False)).alias("ambiguous"))
+
+
 def best_candidates(scored: DataFrame, high: float = 0.7, review: float = 0.4, gap: float = 0.05) -> DataFrame:
     """(id_l, id_r, p, bucket, n_candidates, ambiguous): the best of each left row; ambiguous with two high ones too near."""
-    w = Window.partitionBy("id_l").orderBy(F.desc("p"), "id_r")
-    every = Window.partitionBy("id_l")
-    out = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("p").over(w), "n_candidates": F.count("*").over(every), "n_high": F.count_if(F.col("p") >= high).over(every)}).where("r = 1")
-    near = (F.col("n_high") > 1) & (F.col("p") - F.col("next") < gap)
-    return out.select("id_l", "id_r", "p", F.when(F.col("p") >= high, "high").when(F.col("p") >= review, "review").otherwise("low").alias("bucket"), "n_candidates", F.coalesce(near, F.lit(False)).alias("ambiguous"))
+    one = F.lit(1).cast("long")
+    rows = scored.select("id_l", "id_r", "p", one.alias("m"), one.alias("n"), F.when(F.col("p") >= high, one).otherwise(0).alias("n_high"))
+    return _bucketed(_best(rows, "id_l"), high, review, gap)
+
+
+def best_of_classes(ids: DataFrame, scored: DataFrame, high: float = 0.7, review: float = 0.4, gap: float = 0.05) -> DataFrame:
+    """best_candidates() of the pairs that stand behind linked_classes(): ids (id_l, class), scored (class, id_r, p, n).
+
+    p has to be that of all pairs of two classes. A left row only needs its
+    class's best candidate, what comes next and the numbers of all; an id that
+    stands in several classes has those of each.
+    """
+    top = _best(scored.select("class", "id_r", "p", F.col("n").alias("m"), "n", F.when(F.col("p") >= high, F.col("n")).otherwise(0).alias("n_high")), "class")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long").alias("m")
+    first = F.struct("id_r", "p", one, "n", "n_high")
+    second = F.struct("id_r", F.col("next").alias("p"), one, none.alias("n"), none.alias("n_high"))
+    two = top.select("class", F.explode(F.when(F.col("next").isNull(), F.array(first)).otherwise(F.array(first, second))).alias("c"))
+    return _bucketed(_best(ids.join(two, "class").select("id_l", "c.*"), "id_l"), high, review, gap)
 
 
 def merged(left: DataFrame, exact: DataFrame, best: DataFrame, reviewed: DataFrame) -> DataFrame:

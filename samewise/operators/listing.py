@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from samewise.operators.overlays import agreement, of_units
 
 
-def page(rows: DataFrame, order: Sequence[Column | str], offset: int = 0, limit: int = 50, where: Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
-    """One page in a given order, its last key unique so that pages neither overlap nor leave gaps; the limit is the page."""
+def page(rows: DataFrame, order: Sequence[Column | str], offset: int = 0, limit: int = 50, where: Column | None = None, columns: Sequence[str] = (), costly: bool = False) -> DataFrame:
+    """One page in a given order, its last key unique so that pages neither overlap nor leave gaps; the limit is the page.
+
+    costly: what `where` reads is worked out once a row. As a filter it would
+    be pushed below that, with all of it anew at each mention; so rows that it
+    leaves out come after all others, and go from the page.
+    """
+    if where is not None and costly:
+        marked = rows.withColumn("_in", F.coalesce(where, F.lit(False)))
+        return marked.orderBy(F.desc("_in"), *order).offset(offset).limit(limit).where("_in").select(*(columns or rows.columns))
     out = rows if where is None else rows.where(where)
     return (out.select(*columns, *[c for c in _names(order) if c not in columns]) if columns else out).orderBy(*order).offset(offset).limit(limit).select(*(columns or out.columns))
 

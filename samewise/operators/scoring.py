@@ -49,7 +49,7 @@ class Comparison:
         else:
             close = {
                 "exact": lambda x: F.lit(False),
-                "levenshtein": lambda x: F.levenshtein(a, b) <= x,
+                "levenshtein": lambda x: F.levenshtein(a, b, int(x)) >= 0,  # -1 beyond x, found without going on
                 "damerau": lambda x: damerau_col(a, b) <= x,
                 "jaccard": lambda x: jaccard(a, b) >= x,
                 "jaro": lambda x: jaro_col(a, b) >= x,
@@ -59,6 +59,8 @@ class Comparison:
         out = F.lit(0)
         for i, test in enumerate(reversed(tests)):
             out = F.when(test, i + 1).otherwise(out)
+        if self.kind == "levenshtein" and t:  # most pairs are beyond the loosest limit, so that is tried first, once
+            out = F.when(~(a == b) & (F.levenshtein(a, b, int(max(t))) < 0), 0).otherwise(out)
         return F.when(a.isNull() | b.isNull(), -1).otherwise(out).alias(f"gamma_{self.column}")
 
 

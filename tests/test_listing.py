@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from samewise import queries as catalogue
 from samewise.operators import clusters as G
 from samewise.operators import listing as I
 from samewise.operators import loading as N
@@ -46,3 +47,19 @@ def test_bulk_lines_stay_in_pairs(spark, tmp_path):
     K.write_bulk(spark.createDataFrame([(1, "E1"), (2, None), (3, "E1")], "r int, e string"), f"{tmp_path}/bulk", "r", "e")
     lines = [x for f in sorted((tmp_path / "bulk").glob("part-*")) for x in f.read_text().splitlines()]
     assert len(lines) == 4 and all('"index"' in a and '"entity_id":"E1"' in b for a, b in zip(lines[::2], lines[1::2], strict=True))
+
+
+def test_page_of_costly_conditions(spark):
+    rows = spark.range(40).selectExpr("id", "CASE WHEN id % 7 > 0 THEN (id % 5) / 4 END AS p")
+    p = F.col("p")
+    for offset, limit in ((0, 4), (3, 50), (30, 5)):
+        order = [F.desc_nulls_last("p"), "id"]
+        want = I.page(rows, order, offset, limit, p.between(0.2, 0.8), ["id", "p"]).collect()
+        assert I.page(rows, order, offset, limit, p.between(0.2, 0.8), ["id", "p"], costly=True).collect() == want
+
+
+def test_pairs_page_scores_once_and_joins_no_unit_to_pairs(spark):
+    plan = catalogue.QUERIES["r_pairs_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein") <= 6  # three in each of two rules; as a filter on the score they stood there anew at each mention
+    above = plan[: plan.index("Union")]
+    assert "Join" not in above

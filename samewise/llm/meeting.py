@@ -23,7 +23,7 @@ from samewise.plans.materialize import discard, save, shuffle_partitions
 
 
 def met(entries: DataFrame) -> DataFrame:
-    """(key, head, node) from (key, node) in order of keys: every node but the first of its key, and that first one."""
+    """(key, head, node) from (key, node) in order of keys and nodes: every node but the first of its key, and that first one."""
 
     def run(batches):
         held, head = None, None
@@ -48,6 +48,17 @@ def met(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "key long, head binary, node binary")
 
 
+def stars(shared: DataFrame) -> DataFrame:
+    """(head, node) that connect what the heads and nodes of shared connect: a node hangs on the smallest of its heads, and so do its other heads.
+
+    In a dense group the nodes of many keys have a few heads, so it has about
+    as many edges as nodes, not as nodes and keys. A node has at most as many heads as keys.
+    """
+    heads = shared.groupBy("node").agg(F.sort_array(F.collect_set("head")).alias("heads"))
+    edges = F.transform("heads", lambda h, i: F.struct(F.col("heads")[0].alias("head"), F.when(i == 0, F.col("node")).otherwise(h).alias("node")))
+    return heads.select(F.explode(edges).alias("e")).select("e.head", "e.node").distinct()
+
+
 def forests(cells: DataFrame, make: Callable, forest: Callable) -> DataFrame:
     """(a, b): for each cell of (cell, node, payload), in order of cells, the edges (places of two) that forest gives for [make(payload), ...]."""
 
@@ -78,8 +89,8 @@ def spanning_links(entries: DataFrame, compare: Callable[[DataFrame], DataFrame]
     the saved (a, b) of a spanning forest of each cell's alike pairs.
     """
     spark = entries.sparkSession
-    shared = save(met(entries.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")), "meeting-met")
-    parts = save(connected_components(shared.select("head", "node").distinct(), "head", "node"), "meeting-parts")
+    shared = save(met(entries.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node")), "meeting-met")
+    parts = save(connected_components(stars(shared), "head", "node"), "meeting-parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).withColumn("m", F.ceil(F.col("size") / cell).cast("int"))
     dealt = parts.join(sizes, "component").select("node", "component", "m")
     name = lambda salt: F.concat_ws("-", F.hex("component"), salt)

@@ -61,3 +61,14 @@ def test_a_dense_group_costs_its_rows(spark):
     keys = {n: {1, 2, 3} for n in range(1000)}
     got, want, sent = run(spark, keys, lambda a, b: True, 50)
     assert got == want and sent <= 1100
+
+
+def test_dense_groups_have_about_an_edge_a_node(spark):
+    """Nodes of a dozen keys each: the edges grew with nodes times keys."""
+    rows = [(k * 3 + n % 3 if n % 2 else k * 3, b"%04d" % n) for n in range(300) for k in range(12)]
+    entries = spark.createDataFrame(rows, "key long, node binary")
+    shared = meeting.met(entries.repartition(4, "key").sortWithinPartitions("key", "node"))
+    edges = meeting.stars(shared)
+    assert edges.count() < 310
+    cc = lambda e: sorted(map(tuple, connected_components(e, "head", "node").collect()))
+    assert cc(edges) == cc(shared.select("head", "node").distinct())

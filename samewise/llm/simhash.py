@@ -304,14 +304,14 @@ def links(fps: DataFrame, radius: int, lanes: int, group: int = GROUP) -> DataFr
 # ---------------------------------------------------------------- verified near copies
 
 SHINGLE, SIMILAR = 5, 0.8  # words; Jaccard similarity of the sets of shingles from which on two texts are near copies
-BANDS, ROWS = 24, 5  # two texts meet if a band's minima are equal: at 0.8 all bands miss with (1 - 0.8 ** 5) ** 24, or 7 in 100,000
-SURE = 66  # equal minima of 120 below which a pair is not verified: at a similarity of 0.8 one is expected in 10^9 or so
+DIFFER = np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi  # share of bits in which fingerprints of two sets of equal size differ at SIMILAR
+MISSED = 1e-4  # of pairs at SIMILAR the index may miss this share, by calculation
+SEGMENT, ROWS = 12, 1 << 12  # bits of a segment at least; rows of an index entry, on average, from which on it gets wider
+CHECKED = 4, 72  # lanes, and bits of 256 beyond which a pair is not verified: at a similarity of 0.8 one is expected in 10^8 or so
+MATRIX = 512  # rows of an index entry that are compared as one matrix; larger ones are searched from head to head
 CELL = 2048  # texts that meet in one task at once
 SIEVE_BITS = 24  # 2 MB tell which texts stand in no cell
 
-MIXERS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "big"), 11) for i in range(2 * BANDS * ROWS)], dtype=np.uint64).reshape(2, -1)
-MIXERS[0] |= np.uint64(1)
-
 
 def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles in order; a text under k words is one shingle, a wordless one has none."""
@@ -319,14 +319,103 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value of a set under each of BANDS * ROWS mixings."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    step = 4096  # a text of any length needs bounded memory
-    for i in range(0, len(hashes), step):
-        mixed = (hashes[i : i + step, None] ^ MIXERS[1]) * MIXERS[0]
-        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    return low
+def layout(rows: int) -> tuple[int, int]:
+    """(lanes, radius) of an index of so many fingerprints: radius // 2 + 1 segments, of which two near copies share one but for a bit with 1 - MISSED."""
+    width = max(SEGMENT, int(np.ceil(np.log2(max(1, rows) / ROWS))) + 1)
+    met = (1 - DIFFER) ** width + width * DIFFER * (1 - DIFFER) ** (width - 1)
+    lanes = int(np.ceil(np.log(MISSED) / np.log(1 - met) * width / 64))
+    return lanes, 2 * (64 * lanes // width) - 1
+
+
+def set_lanes(hashes: np.ndarray, lanes: int) -> bytes:
+    """SimHash of a set of hashes: lane 0 the majority of their own bits, the others of their bits mixed anew."""
+    ones = np.zeros(64 * lanes, dtype=np.int64)
+    for i in range(0, len(hashes), 255):  # counts fit a byte
+        h = hashes[i : i + 255]
+        mixed = np.empty((len(h), lanes), dtype=">u8")
+        mixed[:, 0] = h
+        for lane in range(1, lanes):
+            z = h + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed[:, lane] = z ^ (z >> np.uint64(31))
+        ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def near_forest(fps: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """A spanning forest of the rows within so many bits of each other. A dense group costs its rows, not its pairs."""
+
+    def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        dist = np.zeros((len(some), len(others)), dtype=np.uint16)
+        for j in range(fps.shape[1]):
+            dist += np.bitwise_count(fps[some, j][:, None] ^ fps[others, j][None, :])
+        return dist <= within
+
+    n = len(fps)
+    left = np.arange(n)
+    if n <= MATRIX:
+        all_near = near(left, left)
+        if np.count_nonzero(all_near) == n:  # each is near itself only
+            return []
+        left = left[all_near.sum(axis=1) > 1]
+        near = lambda some, others: all_near[np.ix_(some, others)]
+    out = []
+    while len(left) > 1:
+        reached, left = left[:1], left[1:]
+        while len(reached) and len(left):
+            some, reached = reached[:256], reached[256:]
+            found = near(some, left)
+            hit = found.any(axis=0)
+            out.extend(zip(some[found[:, hit].argmax(axis=0)].tolist(), left[hit].tolist(), strict=True))
+            reached, left = np.concatenate([reached, left[hit]]), left[~hit]
+    return out
+
+
+def near_links(fps: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """(a, b): fingerprints (fp) that differ in a quarter of their bits at most and meet in a deletion variant of a segment; saved.
+
+    They connect what all such pairs connect. Every pair within radius bits
+    meets, and of those at SIMILAR all but MISSED.
+    """
+
+    def index(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                col = b.column(0).slice(lo, 4096)
+                for s, wild, packed in variants(col.to_pylist(), radius):
+                    if wild >= 0:  # what is equal in the whole segment meets in each of its variants
+                        value = sum(packed[:, j].astype(np.int64) << 8 * j for j in range(packed.shape[1]))
+                        yield pa.RecordBatch.from_arrays([pa.array(value | (s << 8 | wild) << 32), col], names=["key", "fp"])
+
+    def compare(batches):
+        held, parts = None, []
+
+        def close(some: list[np.ndarray]):
+            rows = np.concatenate(some) if some else np.zeros((0, lanes), dtype=np.uint64)
+            raw = rows.astype(">u8")
+            edges = near_forest(rows, 16 * lanes)
+            return pa.RecordBatch.from_arrays([pa.array([raw[e[x]].tobytes() for e in edges], pa.binary()) for x in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            rows = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if keys[lo] != held:
+                    if len(parts) > 1 or parts and len(parts[0]) > 1:
+                        out = close(parts)
+                        if out.num_rows:
+                            yield out
+                    held, parts = keys[lo], []
+                parts.append(rows[lo:hi])
+        yield close(parts)
+
+    entries = fps.select("fp").distinct().mapInArrow(index, "key long, fp binary")
+    dealt = entries.repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+    return save(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "simhash-near-links")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -334,27 +423,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, own, node, bands): the text's hash, a digest of its set of shingles and the keys of its bands."""
+def with_sets(docs: DataFrame, id_col: str, text_col: str, lanes: int) -> DataFrame:
+    """(id, own, node, fp): the text's hash, a digest of its set of shingles and the set's fingerprint, null for a wordless text."""
     rows = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("own"), "text")
 
     def run(batches):
         for b in batches:
-            nodes, keys = [], []
+            nodes, fps = [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set((t or "").encode())
                 nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
-                low = minima(own).reshape(BANDS, ROWS) if len(own) else []
-                keys.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "own", "node", "bands"])
+                fps.append(set_lanes(own, lanes) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary())], names=["id", "own", "node", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own long, node binary, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, own long, node binary, fp binary")
 
 
 def alike(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets with a Jaccard similarity of least or more; each of its edges is verified."""
     n = len(sets)
-    low = np.array([minima(s) for s in sets]).astype(np.uint16)
+    lanes, most = CHECKED
+    fps = np.array([np.frombuffer(set_lanes(s, lanes), dtype=">u8") for s in sets]).astype(np.uint64)
     size = np.array([len(s) for s in sets])
     root = np.arange(n)  # of a component its first member
     out = []
@@ -362,7 +451,7 @@ def alike(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int
         later = np.arange(i + 1, n)
         later = later[root[later] != root[i]]
         later = later[np.minimum(size[later], size[i]) >= least * np.maximum(size[later], size[i])]
-        later = later[(low[later] == low[i]).sum(axis=1) >= SURE]
+        later = later[np.bitwise_count(fps[later] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
         for j in later.tolist():
             if root[j] != root[i] and jaccard(sets[i], sets[j]) >= least:
                 root[root == root[j]] = root[i]
@@ -370,12 +459,19 @@ def alike(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int
     return out
 
 
-def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> DataFrame:
-    """(a, b): nodes with a similarity of SIMILAR or more; they connect what the pairs that share a band connect."""
+def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, lanes: int, radius: int, cell: int = CELL) -> DataFrame:
+    """(a, b): nodes with a similarity of SIMILAR or more; they connect what such pairs among those whose fingerprints near_links connects do."""
     spark = docs.sparkSession
-    one = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "own", "bands"))
+    one = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "own", "fp"))
     classes = save(sets.groupBy("node").agg(one.alias("r")).select("node", "r.*"), "simhash-sets")
-    entries = classes.select(F.explode("bands").alias("key"), "node")
+    near = near_links(classes.where("fp IS NOT NULL"), lanes, radius)
+    reached = connected_components(near, "a", "b").withColumnRenamed("node", "fp")
+    # all texts whose fingerprints links connect are compared, whichever of them met
+    entries = save(
+        classes.where("fp IS NOT NULL").select("fp", "node").join(reached, "fp", "left").select(F.xxhash64(F.coalesce("component", "fp")).alias("key"), "node"),
+        "simhash-candidates",
+    )
+    discard(near)
     places = classes.select("node", F.col("id").alias("kid"), F.col("own").alias("kown"))
 
     def compare(cells: DataFrame) -> DataFrame:
@@ -391,6 +487,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
 
     found = spanning_links(entries, compare, cell)
     discard(classes)
+    discard(entries)
     return found
 
 
@@ -402,12 +499,14 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts are all alike. Null ids take the component of their text, null if no
     row of it has an id. An empty table gives an empty table.
 
-    The index of deletion variants can't serve here: 0.8 may be a tenth of the
-    distinct words, some 20 of 128 bits, which leaves segments of 12 bits. So
-    candidates come from bands of minima over the shingles themselves.
+    Candidates come from SimHash fingerprints of the sets, 64 bits a lane, by
+    deletion variants of their segments. At 0.8 fingerprints differ in 15 bits
+    of 100, so a segment has few bits and there are more of them than a radius
+    asks for; layout() says how many.
     """
-    sets = save(with_sets(docs, id_col, text_col), "simhash-near")
-    cc = connected_components(verified_links(docs, sets, id_col, text_col, cell), "a", "b")
+    lanes, radius = layout(docs.count())
+    sets = save(with_sets(docs, id_col, text_col, lanes), "simhash-near")
+    cc = connected_components(verified_links(docs, sets, id_col, text_col, lanes, radius, cell), "a", "b")
     classes = sets.groupBy("node").agg(F.min("id").alias("least"))
     named = classes.join(cc, "node", "left").withColumn("class", F.coalesce("component", "node"))
     best = named.groupBy("class").agg(F.min("least").alias("component"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -201,3 +202,46 @@ def test_rows_of_a_key_meet_across_batches(spark):
     heads = {(r.key, bytes(r.head)) for r in got}
     assert len(heads) == len({k for k, _ in rows})
     assert sorted([(r.key, bytes(r.node)) for r in got] + list(heads)) == sorted(rows)
+
+
+def test_lanes_are_majorities_over_the_set(spark):
+    text = " ".join(f"w{i % 70}" for i in range(400)).encode()  # 70 different shingles, most of them repeated
+    own = simhash.shingle_set(text)
+    want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+    fp = simhash.set_lanes(own, 3)
+    assert len(own) == 70 and len(fp) == 24 and int.from_bytes(fp[:8], "big") == want
+    assert len({fp[:8], fp[8:16], fp[16:]}) == 3
+
+
+def test_near_links_connect_all_pairs_within_the_radius(spark):
+    rng = random.Random(21)
+    lanes, radius = simhash.layout(60)
+    fps = [rng.getrandbits(64 * lanes) for _ in range(30)]
+    for f in fps[:30]:
+        x = f
+        for b in rng.sample(range(64 * lanes), rng.randint(radius - 8, radius)):
+            x ^= 1 << b
+        fps.append(x)
+    df = spark.createDataFrame([(f.to_bytes(8 * lanes, "big"),) for f in fps], "fp binary")
+    got = {frozenset(int.from_bytes(x, "big") for x in r) for r in simhash.near_links(df, lanes, radius).collect()}
+    assert got == {frozenset(p) for p in zip(fps[:30], fps[30:], strict=True)}
+
+
+def test_a_dense_entry_is_one_tree(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 1 << 63, (30, 3), dtype=np.uint64)
+    dense = np.repeat(rows[:1], 2 * simhash.MATRIX, axis=0)
+    dense[np.arange(len(dense)), np.arange(len(dense)) % 3] ^= np.uint64(1) << rng.integers(0, 64, len(dense)).astype(np.uint64)
+    for some in (dense, dense[:100]):
+        edges = simhash.near_forest(np.concatenate([some, rows[1:]]), 48)
+        assert len(edges) == len(some) - 1 and len({x for e in edges for x in e}) == len(some)
+
+
+def test_near_copies_are_those_that_the_simhash_index_lets_meet(spark, monkeypatch):
+    base = [f"word{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:150] + ["changed"] + base[151:])), (3, "\n".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [1]
+    none = spark.createDataFrame([], "a binary, b binary")
+    monkeypatch.setattr(simhash, "near_links", lambda *_: none)
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [1, 2]  # equal sets are one text

@@ -206,8 +206,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(((b"".join(kept) + raw[at:]).decode(), starts, ends))
         return pd.DataFrame(out, columns=["text", "starts", "ends"])
 
+    # once a row: a condition on the result, pushed below it, would have each text cut twice, by two Python workers a task
+    cut = cut.asNondeterministic()
     joined = docs.withColumn(own, text_hash(text)).join(per_doc, key.eqNullSafe(F.col(kid)) & (F.col(own) == F.col(own_r)), "left")
-    done = joined.withColumn(made, F.when(F.col(places).isNotNull(), cut(text, F.col(places))))
+    # texts without repeats are not sent to Python
+    done = joined.withColumn(made, cut(F.when(F.col(places).isNotNull(), text), F.col(places)))
     columns = [
         F.coalesce(F.col(f"{made}.text"), text).alias(c) if c == text_col else F.col(f"`{c}`")
         for c in docs.columns

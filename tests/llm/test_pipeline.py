@@ -111,3 +111,10 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeats_are_cut_once_a_row(spark, tmp_path):
+    docs, *_ = corpus()
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [cut(") == 1

@@ -308,6 +308,7 @@ DIFFER = np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi  # share of bits in whic
 MISSED = 1e-4  # of pairs at SIMILAR the index may miss this share, by calculation
 SEGMENT, ROWS = 12, 1 << 12  # bits of a segment at least; rows of an index entry, on average, from which on it gets wider
 CHECKED = 4, 72  # lanes, and bits of 256 beyond which a pair is not verified: at a similarity of 0.8 one is expected in 10^8 or so
+EARLY = 1  # segments whose links make classes before the others are indexed
 MATRIX = 512  # rows of an index entry that are compared as one matrix; larger ones are searched from head to head
 CELL = 2048  # texts that meet in one task at once
 SIEVE_BITS = 24  # 2 MB tell which texts stand in no cell
@@ -343,8 +344,11 @@ def set_lanes(hashes: np.ndarray, lanes: int) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def near_forest(fps: np.ndarray, within: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows within so many bits of each other. A dense group costs its rows, not its pairs."""
+def near_forest(fps: np.ndarray, within: int, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the rows within so many bits of each other. A dense group costs its rows, not its pairs.
+
+    classes: rows of one class are linked already, so an edge is given only where it joins two classes.
+    """
 
     def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
         dist = np.zeros((len(some), len(others)), dtype=np.uint16)
@@ -354,47 +358,52 @@ def near_forest(fps: np.ndarray, within: int) -> list[tuple[int, int]]:
 
     n = len(fps)
     left = np.arange(n)
+    classes = left if classes is None else classes
     if n <= MATRIX:
         all_near = near(left, left)
         if np.count_nonzero(all_near) == n:  # each is near itself only
             return []
-        left = left[all_near.sum(axis=1) > 1]
+        left = left[(all_near & (classes[:, None] != classes)).any(axis=1)]
         near = lambda some, others: all_near[np.ix_(some, others)]
     out = []
     while len(left) > 1:
-        reached, left = left[:1], left[1:]
+        same = classes[left] == classes[left[0]]
+        reached, left = left[same], left[~same]
         while len(reached) and len(left):
             some, reached = reached[:256], reached[256:]
             found = near(some, left)
             hit = found.any(axis=0)
-            out.extend(zip(some[found[:, hit].argmax(axis=0)].tolist(), left[hit].tolist(), strict=True))
-            reached, left = np.concatenate([reached, left[hit]]), left[~hit]
+            joined, one = np.unique(classes[left[hit]], return_index=True)
+            out.extend(zip(some[found[:, hit].argmax(axis=0)[one]].tolist(), left[hit][one].tolist(), strict=True))
+            same = np.isin(classes[left], joined)
+            reached, left = np.concatenate([reached, left[same]]), left[~same]
     return out
 
 
-def near_links(fps: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """(a, b): fingerprints (fp) that differ in a quarter of their bits at most and meet in a deletion variant of a segment; saved.
+def _segment_links(fps: DataFrame, lanes: int, radius: int, first: int, end: int) -> DataFrame:
+    """(a, b): of (fp, class), fingerprints that differ in a quarter of their bits at most and meet in a variant of the segments from first up to end.
 
-    They connect what all such pairs connect. Every pair within radius bits
-    meets, and of those at SIMILAR all but MISSED.
+    They connect what all such pairs connect, given that rows of one class are connected; a null class is a class of its own.
     """
 
     def index(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
-                col = b.column(0).slice(lo, 4096)
+                col, own = b.column(0).slice(lo, 4096), b.column(1).slice(lo, 4096)
                 for s, wild, packed in variants(col.to_pylist(), radius):
-                    if wild >= 0:  # what is equal in the whole segment meets in each of its variants
+                    if s >= end:
+                        break
+                    if s >= first and wild >= 0:  # what is equal in the whole segment meets in each of its variants
                         value = sum(packed[:, j].astype(np.int64) << 8 * j for j in range(packed.shape[1]))
-                        yield pa.RecordBatch.from_arrays([pa.array(value | (s << 8 | wild) << 32), col], names=["key", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(value | (s << 8 | wild) << 32), col, own], names=["key", "fp", "class"])
 
     def compare(batches):
-        held, parts = None, []
+        held, parts, seen = None, [], 0
 
-        def close(some: list[np.ndarray]):
-            rows = np.concatenate(some) if some else np.zeros((0, lanes), dtype=np.uint64)
+        def close(some: list[tuple[np.ndarray, np.ndarray]]):
+            rows = np.concatenate([r for r, _ in some]) if some else np.zeros((0, lanes), dtype=np.uint64)
             raw = rows.astype(">u8")
-            edges = near_forest(rows, 16 * lanes)
+            edges = near_forest(rows, 16 * lanes, np.concatenate([c for _, c in some]) if some else None)
             return pa.RecordBatch.from_arrays([pa.array([raw[e[x]].tobytes() for e in edges], pa.binary()) for x in (0, 1)], names=["a", "b"])
 
         for b in batches:
@@ -402,20 +411,44 @@ def near_links(fps: DataFrame, lanes: int, radius: int) -> DataFrame:
                 continue
             keys = b.column(0).to_numpy()
             rows = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
+            classes = b.column(2).fill_null(-1).to_numpy()
+            classes = np.where(classes < 0, -1 - seen - np.arange(len(keys)), classes)
+            seen += len(keys)
             starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 if keys[lo] != held:
-                    if len(parts) > 1 or parts and len(parts[0]) > 1:
+                    if len(parts) > 1 or parts and len(parts[0][0]) > 1:
                         out = close(parts)
                         if out.num_rows:
                             yield out
                     held, parts = keys[lo], []
-                parts.append(rows[lo:hi])
+                parts.append((rows[lo:hi], classes[lo:hi]))
         yield close(parts)
 
-    entries = fps.select("fp").distinct().mapInArrow(index, "key long, fp binary")
+    entries = fps.mapInArrow(index, "key long, fp binary, class long")
     dealt = entries.repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key")
-    return save(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "simhash-near-links")
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def near_links(fps: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """(a, b): they connect what all fingerprints (fp) connect that differ in a quarter of their bits at most and meet in a deletion variant of a segment; saved.
+
+    Every pair within radius bits meets, and of those at SIMILAR all but
+    MISSED. In a dense group each fingerprint meets others in most of its
+    variants, so the first EARLY segments make classes, of which the others
+    give only what joins two: edges grow with fingerprints, not with variants.
+    """
+    own = fps.select("fp").distinct()
+    early = save(_segment_links(own.withColumn("class", F.lit(None).cast("long")), lanes, radius, 0, EARLY), "simhash-early-links")
+    reached = save(connected_components(early, "a", "b"), "simhash-early-classes")
+    discard(early)
+    numbers = save(reached.where("node = component").select("component", F.monotonically_increasing_id().alias("class")), "simhash-early-numbers")
+    named = reached.join(numbers, "component").select(F.col("node").alias("fp"), "class")
+    late = _segment_links(own.join(named.hint("merge"), "fp", "left").select("fp", "class"), lanes, radius, EARLY, 64 * lanes)
+    out = save(reached.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late), "simhash-near-links")
+    discard(reached)
+    discard(numbers)
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from samewise.llm import meeting, simhash
+from samewise.operators.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -237,6 +238,47 @@ def test_a_dense_entry_is_one_tree(spark):
         assert len(edges) == len(some) - 1 and len({x for e in edges for x in e}) == len(some)
 
 
+def test_edges_of_a_dense_group_grow_with_its_rows_not_with_its_entries(spark):
+    rng = random.Random(8)
+    lanes, radius = simhash.layout(400)
+    width = 64 * lanes
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(width), n))
+    centres = [rng.getrandbits(width) for _ in range(40)]
+    fps = [flip(centres[0], 14) for _ in range(300)] + [flip(c, n) for c in centres[1:] for n in (6, 12, 18)]
+    df = spark.createDataFrame([(f.to_bytes(width // 8, "big"),) for f in fps], "fp binary")
+    edges = simhash.near_links(df, lanes, radius)
+    assert edges.count() < 1.5 * len(fps)  # 5602, 13 a fingerprint, where each variant gave edges of its own
+    got = {int.from_bytes(r.node, "big"): r.component for r in connected_components(edges, "a", "b").collect()}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    for i in range(len(fps)):
+        for j in range(i):
+            if find(i) == find(j):
+                assert got[fps[i]] == got[fps[j]]
+            elif (i < 300) != (j < 300):
+                assert fps[i] not in got or got.get(fps[j]) != got[fps[i]]
+
+
+def test_classes_get_no_edges_within_and_one_between():
+    rows = np.zeros((9, 3), dtype=np.uint64)
+    rows[:, 0] = [0, 1, 3, 0, 1, (1 << 60) - 1, (1 << 60) - 2, 7, 15]
+    rows[5:7, 1] = (1 << 60) - 1
+    classes = np.array([4, 4, 4, 9, 9, 2, 2, -1, -2])
+    assert simhash.near_forest(rows[:3], 48, classes[:3]) == [] == simhash.near_forest(rows[5:7], 48, classes[5:7])
+    for many in (1, simhash.MATRIX):  # as one matrix, and searched from head to head
+        edges = simhash.near_forest(np.repeat(rows, many, axis=0), 48, np.repeat(classes, many))
+        assert sorted(tuple(sorted((classes[i // many], classes[j // many]))) for i, j in edges) == [(-2, 4), (-1, 4), (4, 9)]
+
+
 def test_near_copies_are_those_that_the_simhash_index_lets_meet(spark, monkeypatch):
     base = [f"word{i}" for i in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:150] + ["changed"] + base[151:])), (3, "\n".join(base))]
